@@ -12,11 +12,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 #: Distinct words whose ids a worker remembers, twice at most (this and the last generation).
-REMEMBERED = 200_000
+REMEMBERED = 450_000
 #: Bytes of words that one recursive query encodes, and tokens that one query decodes.
-AT_ONCE, DECODED_AT_ONCE = 200_000, 200_000
+AT_ONCE, DECODED_AT_ONCE = 400_000, 200_000
 #: Rows and text bytes of one output batch.
-ROWS_OUT, BYTES_OUT = 256, 4_000_000
+ROWS_OUT, BYTES_OUT = 1024, 4_000_000
 
 #: Token-position rows join the merge table; each word's leftmost pair of minimum rank is contracted until no row joins.
 #: Where the merged token is in no pair of a smaller rank ("lone"), nothing can come between the occurrences of that
@@ -40,32 +40,34 @@ WITH RECURSIVE state AS (
                     FROM (
                         SELECT w, pos, tok, lead(tok) OVER word AS next_tok, row_number() OVER word AS nth
                         FROM state WHERE NOT done WINDOW word AS (PARTITION BY w ORDER BY pos)
-                    ) p LEFT JOIN merges m ON m.l = p.tok AND m.r = p.next_tok
+                    ) p LEFT JOIN merges m ON m.pair = p.tok * 4294967296 + p.next_tok
                 )
             )
         )
     ) WHERE NOT gone
 )
-SELECT s.w, list(s.tok ORDER BY s.pos) AS ids FROM state s WHERE done GROUP BY s.w ORDER BY s.w
+SELECT s.w, list(s.tok ORDER BY s.pos) AS ids, string_agg(v.piece, '' ORDER BY s.pos) AS body
+FROM state s JOIN vocabulary v ON v.tok = s.tok WHERE done GROUP BY s.w ORDER BY s.w
 """
-#: The same for words of ordinary length, where one contraction a round is quickest.
+#: The same for words of ordinary length, where one contraction a round is quickest. Rows carry the token after them, so
+#: that a round is one join and one window: best has the word's least rank and its first place in one number.
 ENCODE_SHORT = """
 WITH RECURSIVE state AS (
-    SELECT w, pos, tok, false AS done FROM token_rows
+    SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS next_tok, false AS done FROM token_rows
     UNION ALL
-    SELECT w, pos, tok, done FROM (
-        SELECT w, pos, hit, hit IS NULL AS done, CASE WHEN pos = hit THEN merged ELSE tok END AS tok,
-            lag(pos) OVER (PARTITION BY w ORDER BY pos) AS before
-        FROM (
-            SELECT p.w, p.pos, p.tok, m.merged, min_by(p.pos, m.merged::BIGINT * 1048576 + p.pos) OVER (PARTITION BY p.w) AS hit
-            FROM (SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS next_tok FROM state WHERE NOT done) p
-            LEFT JOIN merges m ON m.l = p.tok AND m.r = p.next_tok
-        )
-    ) WHERE hit IS NULL OR before IS NULL OR before <> hit
+    SELECT w, pos, CASE WHEN pos = best % 64 THEN merged ELSE tok END,
+        CASE WHEN pos = best % 64 THEN tok_2 WHEN next_pos = best % 64 THEN best // 64 ELSE next_tok END, best IS NULL
+    FROM (
+        SELECT s.w, s.pos, s.tok, s.next_tok, m.merged, lag(s.pos) OVER word AS before, lead(s.pos) OVER word AS next_pos, lead(s.tok, 2) OVER word AS tok_2,
+            min(m.merged * 64 + s.pos) OVER (PARTITION BY s.w ORDER BY s.pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best
+        FROM state s LEFT JOIN merges m ON m.pair = s.tok * 4294967296 + s.next_tok
+        WHERE NOT s.done WINDOW word AS (PARTITION BY s.w ORDER BY s.pos)
+    ) WHERE best IS NULL OR before IS NULL OR before <> best % 64
 )
-SELECT s.w, list(s.tok ORDER BY s.pos) AS ids FROM state s WHERE done GROUP BY s.w ORDER BY s.w
+SELECT s.w, list(s.tok ORDER BY s.pos) AS ids, string_agg(v.piece, '' ORDER BY s.pos) AS body
+FROM state s JOIN vocabulary v ON v.tok = s.tok WHERE done GROUP BY s.w ORDER BY s.w
 """
-#: Ordered aggregation of the tokens' bytes (as hex, which joins like text).
+#: Ordered aggregation of the tokens' bytes (as hex, which joins like text), as at the end of the queries above.
 DECODE = "SELECT t.w, string_agg(v.piece, '' ORDER BY t.pos) AS body, count(v.piece) AS known, count(*) AS n FROM token_rows t LEFT JOIN vocabulary v ON v.tok = t.tok GROUP BY t.w ORDER BY t.w"
 
 
@@ -92,14 +94,15 @@ class Codec:
                 if a is not None and b is not None:
                     left.append(a), right.append(b), merged.append(r)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
-        self.db.register("given", pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "merged": pa.array(merged, pa.int32())}))
-        self.db.execute("CREATE TABLE merges AS SELECT l, r, merged, coalesce(least >= merged, true) AS lone FROM given LEFT JOIN (SELECT tok, min(m) AS least FROM (SELECT l AS tok, merged AS m FROM given UNION ALL SELECT r, merged FROM given) GROUP BY tok) ON tok = merged")
+        self.db.register("given", pa.table({"l": pa.array(left, pa.int64()), "r": pa.array(right, pa.int64()), "merged": pa.array(merged, pa.int64())}))
+        self.db.execute("CREATE TABLE merges AS SELECT l * 4294967296 + r AS pair, merged, coalesce(least >= merged, true) AS lone FROM given LEFT JOIN (SELECT tok, min(m) AS least FROM (SELECT l AS tok, merged AS m FROM given UNION ALL SELECT r, merged FROM given) GROUP BY tok) ON tok = merged")
         self.db.unregister("given")
         self.db.register("words", pa.table({"tok": pa.array([r for _, r in pairs], pa.int32()), "piece": [t.hex() for t, _ in pairs]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM words")
         self.db.unregister("words")
-        self.new: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.ids: dict[str, bytes] = {}
+        self.bodies: dict[str, bytes] = {}
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def _rows(self, w: np.ndarray, pos: np.ndarray, tok: np.ndarray, query: str) -> pa.Table:
         self.db.register("token_rows", pa.table({"w": w.astype(np.int32), "pos": pos.astype(np.int32), "tok": tok.astype(np.int32)}))
@@ -107,15 +110,16 @@ class Codec:
         self.db.unregister("token_rows")
         return out
 
-    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one word after another, and where each word's begin and end."""
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """All ids one word after another, where each word's begin and end, and the bytes that they decode to."""
         n = np.fromiter(map(len, words), np.int64, len(words))
         tok = self.single[np.frombuffer(b"".join(words), np.uint8)]
         start = np.cumsum(n) - n
-        table = self._rows(np.repeat(np.arange(len(words)), n), np.arange(len(tok)) - np.repeat(start, n), tok, ENCODE if n.max() > 64 else ENCODE_SHORT)
+        table = self._rows(np.repeat(np.arange(len(words)), n), np.arange(len(tok)) - np.repeat(start, n), tok, ENCODE if n.max() >= 64 else ENCODE_SHORT)
         ids = table.column("ids").combine_chunks()
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        return ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
+        ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
+        return ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ends, list(map(bytes.fromhex, table.column("body").to_pylist()))
 
     def decode(self, tok: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The bytes of each run of ids; ends as from encode_words. Unknown ids raise ValueError."""
@@ -131,37 +135,36 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Encodes and decodes new words, short and long ones apart, in bounded queries."""
-        self.old, self.new = (self.new, {}) if len(self.new) > REMEMBERED else (self.old, self.new)
-        fresh = []
-        for word in words:
-            if word in self.new:
-                continue
-            if (known := self.old.get(word)) is None:
-                fresh.append((word, word.encode()))
-            else:
-                self.new[word] = known
+        if len(self.ids) > REMEMBERED:
+            self.old, self.ids, self.bodies = (self.ids, self.bodies), {}, {}
+        unseen = words.difference(self.ids)
+        old_ids, old_bodies = self.old
+        for word in unseen.intersection(old_ids):
+            self.ids[word], self.bodies[word] = old_ids[word], old_bodies[word]
+        fresh = [(word, word.encode()) for word in unseen.difference(old_ids)]
         whole = [(w, b) for w, b in fresh if b in self.rank]
         for word, body in whole:  # a token by itself stays whole
-            self.new[word] = (np.int32(self.rank[body]).tobytes(), body)
-        rest = sorted(((w, b) for w, b in fresh if b not in self.rank), key=lambda x: len(x[1]))
-        at = 0
-        while at < len(rest):
-            stop, size = at, 0
-            while stop < len(rest) and (stop == at or size + len(rest[stop][1]) <= AT_ONCE) and (len(rest[stop][1]) <= 64) == (len(rest[at][1]) <= 64):
-                size += len(rest[stop][1])
-                stop += 1
-            part = rest[at:stop]
-            ids, ends = self.encode_words([b for _, b in part])
-            for i, ((word, _), body) in enumerate(zip(part, self.decode(ids, ends), strict=True)):
-                self.new[word] = (ids[ends[i] : ends[i + 1]].tobytes(), body)
-            at = stop
+            self.ids[word], self.bodies[word] = np.int32(self.rank[body]).tobytes(), body
+        rest = [x for x in fresh if x[1] not in self.rank]
+        for part in ([x for x in rest if len(x[1]) < 64], [x for x in rest if len(x[1]) >= 64]):
+            group = np.cumsum(np.fromiter((len(b) for _, b in part), np.int64, len(part))) // AT_ONCE
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(part)] if part else []
+            for at, stop in zip(cuts, cuts[1:]):
+                self._learn_part(part[at:stop])
+
+    def _learn_part(self, part: list[tuple[str, bytes]]) -> None:
+        names, bodies = zip(*part, strict=True)
+        ids, ends, decoded = self.encode_words(bodies)
+        packed, ends = ids.tobytes(), (ends * 4).tolist()
+        self.ids.update(zip(names, (packed[a:b] for a, b in zip(ends, ends[1:])), strict=True))
+        self.bodies.update(zip(names, decoded, strict=True))
 
     def texts(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
         """Of each text, the ids (int32 bytes) and the bytes that these decode to."""
         split = [self.pattern.findall(t) if t else [] for t in texts]
         self.learn(set().union(*split) if split else set())
-        found = [[self.new[w] for w in s] for s in split]
-        return [b"".join([x[0] for x in f]) for f in found], [b"".join([x[1] for x in f]) for f in found]
+        ids, bodies = self.ids.__getitem__, self.bodies.__getitem__
+        return [b"".join(map(ids, s)) for s in split], [b"".join(map(bodies, s)) for s in split]
 
 
 _codec: dict[int, Codec] = {}
