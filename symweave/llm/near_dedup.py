@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symweave.llm.common import connected_components, forget, small_enough, stored
@@ -128,33 +128,60 @@ def least_estimate(similarity: float) -> float:
     return similarity - ERRORS * (agree * (1 - agree) / (BANDS * ROWS)) ** 0.5 / (1 - chance)
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full shingle sets have 100 * intersection >= percent * union.
-
-    Sets are made once for each class in a pair, from the text of its representative, and travel once for each pair.
-    """
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, hashes: the whole shingle set of each class in nodes, from the text of its representative."""
     wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
     wanted = small_enough(stored(wanted), 500_000)
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")))
-    sets = stored(texts.select("node", "text").mapInArrow(_sets, "node binary, hashes array<bigint>"))
+    return stored(texts.select("node", "text").mapInArrow(_sets, "node binary, hashes array<bigint>"))
+
+
+def similar(x: str, y: str, percent: int) -> Column:
+    """Whether two sets in array columns have 100 * intersection >= percent * union; sizes are compared first."""
+    x, y = F.col(x), F.col(y)
+    both = F.size(F.array_intersect(x, y))
+    sizes = F.least(F.size(x), F.size(y)) * 100 >= F.greatest(F.size(x), F.size(y)) * percent
+    return sizes & (both * 100 >= (F.size(x) + F.size(y) - both) * percent)
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that are similar on full sets. A set is made once, and travels once for each pair."""
+    sets = full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), classes, docs)
     near = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    near = near.where(F.least(F.size("x"), F.size("y")) * 100 >= F.greatest(F.size("x"), F.size("y")) * percent)
-    near = near.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
-    out = stored(near.where(F.col("both") * 100 >= (F.col("n") - F.col("both")) * percent).select("a", "b"))
+    out = stored(near.where(similar("x", "y", percent)).select("a", "b"))
+    forget(sets)
+    return out
+
+
+def confirmed_within(open_members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, enough: float) -> DataFrame:
+    """Similar pairs (a, b) of different components within buckets, in open_members (key, node, sig, c).
+
+    Members are compared inside the join, by estimate, then once in the first bucket that a pair shares, then on full
+    sets: only links come out of it, however large a bucket is.
+    """
+    sets = full_sets(open_members.select("node").distinct(), classes, docs)
+    full = open_members.join(sets, "node").join(classes.select("node", "bands"), "node")
+    other = full.select(*(F.col(c).alias(f"_{c}") for c in ("key", "node", "sig", "c", "hashes", "bands")))
+    first = F.get(F.array_intersect("bands", "_bands"), F.lit(0)) == F.col("key")
+    compare = F.when(F.col("c") == F.col("_c"), False).when(F.col("node") <= F.col("_node"), False).when(estimate("sig", "_sig") < enough, False).when(~first, False).otherwise(similar("hashes", "_hashes", percent))
+    out = stored(full.join(other, (F.col("key") == F.col("_key")) & compare).select(F.col("_node").alias("a"), F.col("node").alias("b")))
     forget(sets)
     return out
 
 
+#: Members of a bucket that all others are compared with before any other pairs are: one at first, then so many more.
+HUBS = 3
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Per row of docs: doc_id, text_hash, n_shingles, component_id, kept.
 
     Two documents are linked if 100 * intersection >= percent * union of their distinct word shingles; component_id is
     the smallest doc_id reachable over links. Documents with equal sets are one class from the start, so copies are
-    never paired. Classes meet in buckets of equal band keys; of two at the threshold about 7 in 10^9 meet in none. In
-    two rounds each bucket compares its members with one of them; after each, only members of different components are
-    compared further; last, all pairs within a bucket that are still in different components are. Pairs that the b-bit
-    estimate rules out are not confirmed; ERRORS bounds what that loses.
+    never paired. Classes meet in buckets of equal band keys; of two at the threshold about 7 in 10^9 meet in none.
+    Each bucket compares its members with the one that is in most buckets, then those still in other components with
+    HUBS more; last, what is still in different components of a bucket is compared inside a join that emits links only.
+    Pairs that the b-bit estimate rules out are not confirmed; ERRORS bounds what that loses.
 
     Null and empty texts have no shingles, are linked with nothing and are kept. Rows that share an id but not a text
     are documents of their own. Ids that are null take no part in the smallest; where a component has no other, it is
@@ -167,38 +194,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = stored(classes.select(F.col("set_key").alias("node"), "r.*"))
     placed = classes.select("node", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = stored(placed.join(shared, "key").join(classes.select("node", "sig"), "node").select("key", "node", "sig"))
+    members = stored(placed.join(shared, "key"))
+    degrees = members.groupBy("node").agg(F.count("*").alias("degree"))
+    met = stored(members.join(degrees, "node").join(classes.select("node", "sig"), "node").select("key", "node", "sig", "degree"))
+    forget(members)
     enough = least_estimate(percent / 100)
-    links, labels, tested = None, None, None
+    links, labels = None, None
     for turn in range(3):
         if labels is None:
-            now = members.withColumn("c", F.col("node"))
+            now = met.withColumn("c", F.col("node"))
         else:
-            now = members.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
+            now = met.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
             open_keys = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-            now = stored(now.join(open_keys, "key").select("key", "node", "sig", "c"))
+            now = stored(now.join(open_keys, "key").select("key", "node", "sig", "degree", "c"))
+            if not now.limit(1).count():
+                break
         if turn < 2:
-            hub = (F.min_by if turn == 0 else F.max_by)(F.struct("node", "sig", "c"), F.col("node"))
-            hubs = now.groupBy("key").agg(hub.alias("h")).select("key", F.col("h.node").alias("a"), F.col("h.sig").alias("x"), F.col("h.c").alias("d"))
-            met = now.join(hubs, "key").where(F.col("c") != F.col("d"))
+            best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "node"))
+            hubs = now.withColumn("at", best).where((F.col("at") == 1) if turn == 0 else F.col("at").between(2, 1 + HUBS))
+            hubs = hubs.select("key", F.col("node").alias("a"), F.col("sig").alias("x"), F.col("c").alias("d"))
+            pairs = now.join(hubs, "key").where(F.col("c") != F.col("d")).where(estimate("x", "sig") >= enough)
+            pairs = stored(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+            found = confirmed(pairs, classes, docs, percent)
         else:
-            hubs = now.select("key", F.col("node").alias("a"), F.col("sig").alias("x"), F.col("c").alias("d"))
-            met = now.join(hubs, (now["key"] == hubs["key"]) & (F.col("node") > F.col("a")) & (F.col("c") != F.col("d")) & (estimate("x", "sig") >= enough))
-        met = met.where(estimate("x", "sig") >= enough)
-        pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        if not pairs.limit(1).count():
-            if turn == 2:
-                break
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = confirmed(pairs, classes, docs, percent)
+            found = confirmed_within(now.select("key", "node", "sig", "c"), classes, docs, percent, enough)
         links = found if links is None else links.unionByName(found)
         labels = stored(connected_components(links).toDF("node", "component"))
-    named = classes.select("node", "doc_id")
-    named = named.withColumn("component", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(least, "component").select(F.col("node").alias("_key"), "component_id")
     out = base.select("doc_id", "text_hash", "n_shingles", "set_key").join(of_class, F.col("set_key") == F.col("_key"), "left")
