@@ -160,11 +160,11 @@ def confirmed_within(open_members: DataFrame, classes: DataFrame, docs: DataFram
     sets: only links come out of it, however large a bucket is.
     """
     sets = full_sets(open_members.select("node").distinct(), classes, docs)
-    full = open_members.join(sets, "node").join(classes.select("node", "bands"), "node")
-    other = full.select(*(F.col(c).alias(f"_{c}") for c in ("key", "node", "sig", "c", "hashes", "bands")))
-    first = F.get(F.array_intersect("bands", "_bands"), F.lit(0)) == F.col("key")
-    compare = F.when(F.col("c") == F.col("_c"), False).when(F.col("node") <= F.col("_node"), False).when(estimate("sig", "_sig") < enough, False).when(~first, False).otherwise(similar("hashes", "_hashes", percent))
-    out = stored(full.join(other, (F.col("key") == F.col("_key")) & compare).select(F.col("_node").alias("a"), F.col("node").alias("b")))
+    full = open_members.join(sets, "node").join(classes.select("node", "bands"), "node").select("key", "node", "sig", "c", "hashes", "bands")
+    x, y = full.alias("x"), full.alias("y")  # both sides alike, so that one exchange serves both
+    first = F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.key")
+    compare = F.when(F.col("x.c") == F.col("y.c"), False).when(F.col("x.node") <= F.col("y.node"), False).when(estimate("x.sig", "y.sig") < enough, False).when(~first, False).otherwise(similar("x.hashes", "y.hashes", percent))
+    out = stored(x.join(y, (F.col("x.key") == F.col("y.key")) & compare).select(F.col("y.node").alias("a"), F.col("x.node").alias("b")))
     forget(sets)
     return out
 
