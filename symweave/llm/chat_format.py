@@ -39,34 +39,45 @@ def chosen_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     messages: conv_id, node, parent, score with (conv_id, node) unique. A branch's score is the sum over its path, a
     null score counts as 0; ties go to the smaller leaf. A parent that is null or missing makes a root; messages on or
     below a cycle are on no root-to-leaf path. Ancestors are found by pointer doubling: round k joins the table of
-    2^k-th ancestors with itself, so a path of n messages takes log2(n) joins, each spread over conversation and node.
+    2^k-th ancestors with itself, so a path of n messages takes log2(n) joins, each spread over conversation and node;
+    conversations whose messages have all met their root take no part in further rounds.
     """
     nodes = messages.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     there = nodes.select(F.col("conv_id").alias("c"), F.col("node").alias("n"))
     linked = nodes.join(there, F.expr("conv_id <=> c and parent = n"), "left")
-    jumps = [stored(linked.select("conv_id", "node", F.col("n").alias("up"), "score", F.lit(1).cast("long").alias("depth")))]
-    limit = max(1, jumps[0].count()).bit_length() + 1
-    while len(jumps) <= limit and jumps[-1].where("up is not null").limit(1).count():
-        last = jumps[-1]
-        far = last.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("up").alias("u"), F.col("score").alias("s"), F.col("depth").alias("d"))
-        both = last.join(far, F.expr("conv_id <=> c and up = n"), "left")
-        jumps.append(stored(both.select("conv_id", "node", F.col("u").alias("up"), F.expr("score + coalesce(s, 0)").alias("score"), F.expr("depth + coalesce(d, 0)").alias("depth"))))
-    answered = jumps[0].where("up is not null").select(F.col("conv_id").alias("c"), F.col("up").alias("n")).distinct()
-    leaves = jumps[-1].where("up is null").join(answered, F.expr("conv_id <=> c and node = n"), "left_anti")
+    live = stored(linked.select("conv_id", "node", F.col("n").alias("up"), "score"))
+    answered = live.where("up is not null").select(F.col("conv_id").alias("c"), F.col("up").alias("n")).distinct()
+    jumps, ended = [live], []
+    limit = max(1, live.count()).bit_length() + 1
+    while len(jumps) <= limit and live.where("up is not null").limit(1).count():
+        far = live.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("up").alias("u"), F.col("score").alias("s"))
+        further = live.where("up is not null").join(far, F.expr("conv_id <=> c and up = n"), "left")
+        further = stored(further.select("conv_id", "node", F.col("u").alias("up"), F.expr("score + coalesce(s, 0)").alias("score")))
+        rows = further.unionByName(live.where("up is null"))
+        open_ = further.where("up is not null").select(F.col("conv_id").alias("c")).distinct()
+        ended.append(rows.join(open_, F.expr("conv_id <=> c"), "left_anti"))
+        live = stored(rows.join(open_, F.expr("conv_id <=> c"), "left_semi"))
+        jumps.append(live)
+        ended[-1] = stored(ended[-1])
+        forget(further)
+    whole = live.where("up is null")
+    for part in ended:
+        whole = whole.unionByName(part)
+    leaves = whole.join(answered, F.expr("conv_id <=> c and node = n"), "left_anti")
     best = Window.partitionBy("conv_id").orderBy(F.desc("score"), F.asc("node"))
     leaves = leaves.withColumn("branch", F.row_number().over(best))
     if branches is not None:
         leaves = leaves.where(F.col("branch") <= branches)
     paths = stored(leaves.select("conv_id", F.col("node").alias("leaf"), "branch", "score", "node", F.lit(0).cast("long").alias("up")))
-    for k, jump in enumerate(jumps[:-1]):
+    for k, jump in enumerate(jumps):
         over = jump.where("up is not null").select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("up").alias("u"))
         above = paths.join(over, F.expr("conv_id <=> c and node = n"))
         above = above.select("conv_id", "leaf", "branch", "score", F.col("u").alias("node"), (F.col("up") + (1 << k)).alias("up"))
         longer = stored(paths.unionByName(above))
         forget(paths)
         paths = longer
-    for jump in jumps:
-        forget(jump)
+    for table in jumps + ended:
+        forget(table)
     return paths
 
 
