@@ -45,8 +45,11 @@ def trigrams(text: str) -> np.ndarray:
 
 def train_language(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
     """A text model from docs (doc_id, text, lang): at most sample rows of each language, chosen by the hash of the id."""
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    in_part, first = Window.partitionBy("lang", "part").orderBy(*order), Window.partitionBy("lang").orderBy(*order)
     ids = docs.where("lang is not null and text is not null and doc_id is not null").where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "lang")
+    ids = ids.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(256)))  # a common language is cut down in parts first
+    ids = ids.withColumn("at", F.row_number().over(in_part)).where(F.col("at") <= sample)
     ids = ids.withColumn("at", F.row_number().over(first)).where(F.col("at") <= sample).select("doc_id", "lang").distinct()
     rows = docs.select("doc_id", "lang", "text").join(small_enough(stored(ids), 100_000), ["doc_id", "lang"], "left_semi").toPandas()
     languages = sorted(set(rows["lang"]))

@@ -74,7 +74,7 @@ def judged(places: DataFrame, rules: DataFrame) -> DataFrame:
     ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fits = hosts.select("host", F.explode(ends).alias("rule_host")).join(small_enough(by_host, 10_000), "rule_host")
     fits = fits.groupBy("host").agg(F.flatten(F.collect_list("rules")).alias("rules"))
-    out = places.join(fits, "host", "left")
+    out = places.join(small_enough(stored(fits), 100_000), "host", "left")
     best = F.array_max(F.filter("rules", lambda r: F.col("path").startswith(r["rule_path"])))
     return out.withColumn("_best", best).withColumn("rule", F.col("_best.rule")).withColumn("ruled", F.col("_best.action")).drop("rules", "_best")
 
