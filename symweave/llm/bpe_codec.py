@@ -11,8 +11,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from symweave.llm.common import held
+
 #: Distinct words whose ids a worker remembers, twice at most (this and the last generation).
-REMEMBERED = 450_000
+REMEMBERED = 350_000
 #: Bytes of words that one recursive query encodes, and tokens that one query decodes.
 AT_ONCE, DECODED_AT_ONCE = 400_000, 200_000
 #: Rows and text bytes of one output batch.
@@ -101,8 +103,7 @@ class Codec:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM words")
         self.db.unregister("words")
         self.ids: dict[str, bytes] = {}
-        self.bodies: dict[str, bytes] = {}
-        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.old: dict[str, bytes] = {}
 
     def _rows(self, w: np.ndarray, pos: np.ndarray, tok: np.ndarray, query: str) -> pa.Table:
         self.db.register("token_rows", pa.table({"w": w.astype(np.int32), "pos": pos.astype(np.int32), "tok": tok.astype(np.int32)}))
@@ -136,15 +137,14 @@ class Codec:
     def learn(self, words: set[str]) -> None:
         """Encodes and decodes new words, short and long ones apart, in bounded queries."""
         if len(self.ids) > REMEMBERED:
-            self.old, self.ids, self.bodies = (self.ids, self.bodies), {}, {}
+            self.old, self.ids = self.ids, {}
         unseen = words.difference(self.ids)
-        old_ids, old_bodies = self.old
-        for word in unseen.intersection(old_ids):
-            self.ids[word], self.bodies[word] = old_ids[word], old_bodies[word]
-        fresh = [(word, word.encode()) for word in unseen.difference(old_ids)]
+        for word in unseen.intersection(self.old):
+            self.ids[word] = self.old[word]
+        fresh = [(word, word.encode()) for word in unseen.difference(self.old)]
         whole = [(w, b) for w, b in fresh if b in self.rank]
         for word, body in whole:  # a token by itself stays whole
-            self.ids[word], self.bodies[word] = np.int32(self.rank[body]).tobytes(), body
+            self.ids[word] = np.int32(self.rank[body]).tobytes()
         rest = [x for x in fresh if x[1] not in self.rank]
         for part in ([x for x in rest if len(x[1]) < 64], [x for x in rest if len(x[1]) >= 64]):
             group = np.cumsum(np.fromiter((len(b) for _, b in part), np.int64, len(part))) // AT_ONCE
@@ -157,25 +157,16 @@ class Codec:
         ids, ends, decoded = self.encode_words(bodies)
         packed, ends = ids.tobytes(), (ends * 4).tolist()
         self.ids.update(zip(names, (packed[a:b] for a, b in zip(ends, ends[1:])), strict=True))
-        self.bodies.update(zip(names, decoded, strict=True))
+        if decoded != list(bodies):
+            raise ValueError("ids that do not decode to their word: the vocabulary lacks a single byte")
 
     def texts(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
-        """Of each text, the ids (int32 bytes) and the bytes that these decode to."""
+        """Of each text, the ids (int32 bytes) and the bytes that these decode to: those of its words in order, which
+        learn() has decoded from their ids and found to be the words themselves."""
         split = [self.pattern.findall(t) if t else [] for t in texts]
         self.learn(set().union(*split) if split else set())
-        ids, bodies = self.ids.__getitem__, self.bodies.__getitem__
-        return [b"".join(map(ids, s)) for s in split], [b"".join(map(bodies, s)) for s in split]
-
-
-_codec: dict[int, Codec] = {}
-
-
-def _codec_for(key: int, pairs: list[tuple[bytes, int]], pattern: str) -> Codec:
-    """Workers that are used again keep their codec."""
-    if key not in _codec:
-        _codec.clear()
-        _codec[key] = Codec(pairs, pattern)
-    return _codec[key]
+        ids = self.ids.__getitem__
+        return [b"".join(map(ids, s)) for s in split], ["".join(s).encode() for s in split]
 
 
 def _cuts(sizes: list[int], rows: int, most: int) -> Iterator[tuple[int, int]]:
@@ -205,12 +196,12 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text")
     docs = docs.drop("ids", "decoded")
     pairs = read_ranks(docs.sparkSession, ranks)
     shared = docs.sparkSession.sparkContext.broadcast(pairs)
-    key = hash((ranks, pattern, len(pairs)))
+    key = ("bpe", ranks, pattern, len(pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            codec = codec or _codec_for(key, shared.value, pattern)
+            codec = codec or held(key, lambda: Codec(shared.value, pattern))
             sizes = [len(t or "") for t in batch.column(text).to_pylist()]
             for at, stop in _cuts(sizes, ROWS_OUT, BYTES_OUT):
                 part = batch.slice(at, stop - at)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 _own_folder: list[str] = []
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """In a Python worker that is used again: what make() gave for key, the one thing that is held between tasks."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Lets go of what the worker holds, for operators that have no use for it but need the memory."""
+    _held.clear()
 
 
 def shared_folder(spark: SparkSession) -> str:

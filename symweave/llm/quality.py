@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symweave.llm.common import held
+
 #: Filters, bytes that a filter sees, bytes of a block; blocks of a chunk and from one chunk to the next; hidden units.
 FILTERS, SPAN, BLOCK, CHUNK, STEP, HIDDEN = 16, 6, 32, 8, 4, 12
 #: Labelled rows that a model is fitted on at most, and the text bytes that each may have.
@@ -173,26 +175,21 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> N
     return fit([t.encode("utf-8", "surrogatepass") for t in rows["text"]], rows["quality"].to_numpy(np.int64))
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def score_quality(docs: DataFrame, net: Network) -> DataFrame:
     """docs with score (0 to 1, higher: good quality likelier), from the whole text alone; null is empty."""
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    key = hash(net.tables.tobytes())
+    key = ("quality", net.tables.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(shared.value)
+        scorer = held(key, lambda: Scorer(shared.value))
         for batch in batches:
             column, out = batch.column("text"), []
             texts: list[bytes] = []
             for i in range(len(column)):
                 texts.append((column[i].as_py() or "").encode("utf-8", "surrogatepass"))
                 if len(texts) == 512 or sum(map(len, texts[-1:])) > 1 << 20 or i + 1 == len(column):
-                    out.append(_scorers[key].scores(texts))
+                    out.append(scorer.scores(texts))
                     texts = []
             found = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "score"])

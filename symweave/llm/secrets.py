@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symweave.llm.common import small_enough, stored
+from symweave.llm.common import release, small_enough, stored
 
 KINDS = ("assign", "access", "hex", "linked")
 BASE = {
@@ -55,6 +55,7 @@ def weak_parts(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     part = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string())]))
     for batch in batches:
         base, weak = [], []
