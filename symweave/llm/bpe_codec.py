@@ -8,15 +8,16 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from symweave.llm.common import held
 
 #: Distinct words whose ids a worker remembers, twice at most (this and the last generation).
-REMEMBERED = 350_000
+REMEMBERED = 250_000
 #: Bytes of words that one recursive query encodes, and tokens that one query decodes.
-AT_ONCE, DECODED_AT_ONCE = 400_000, 200_000
+AT_ONCE, DECODED_AT_ONCE = 250_000, 200_000
 #: Rows and text bytes of one output batch.
 ROWS_OUT, BYTES_OUT = 1024, 4_000_000
 
@@ -95,7 +96,7 @@ class Codec:
                 a, b = self.rank.get(token[:cut]), self.rank.get(token[cut:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), merged.append(r)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
         self.db.register("given", pa.table({"l": pa.array(left, pa.int64()), "r": pa.array(right, pa.int64()), "merged": pa.array(merged, pa.int64())}))
         self.db.execute("CREATE TABLE merges AS SELECT l * 4294967296 + r AS pair, merged, coalesce(least >= merged, true) AS lone FROM given LEFT JOIN (SELECT tok, min(m) AS least FROM (SELECT l AS tok, merged AS m FROM given UNION ALL SELECT r, merged FROM given) GROUP BY tok) ON tok = merged")
         self.db.unregister("given")
@@ -202,7 +203,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text")
         codec = None
         for batch in batches:
             codec = codec or held(key, lambda: Codec(shared.value, pattern))
-            sizes = [len(t or "") for t in batch.column(text).to_pylist()]
+            sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
             for at, stop in _cuts(sizes, ROWS_OUT, BYTES_OUT):
                 part = batch.slice(at, stop - at)
                 ids, decoded = codec.texts(part.column(text).to_pylist())

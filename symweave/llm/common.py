@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +22,23 @@ _held: dict[object, object] = {}
 def held(key: object, make: Callable[[], object]) -> object:
     """In a Python worker that is used again: what make() gave for key, the one thing that is held between tasks."""
     if key not in _held:
-        _held.clear()
+        release()
         _held[key] = make()
     return _held[key]
 
 
 def release() -> None:
-    """Lets go of what the worker holds, for operators that have no use for it but need the memory."""
+    """Lets go of what the worker holds, for operators that have no use for it, and gives free memory back."""
     _held.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of so many rows, so that a worker has few texts as Python strings at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def shared_folder(spark: SparkSession) -> str:

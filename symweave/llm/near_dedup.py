@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symweave.llm.common import connected_components, forget, release, small_enough, stored
+from symweave.llm.common import connected_components, forget, pieces, release, small_enough, stored
 
 #: Words of a shingle; bands and minima of a band; low bits kept of each minimum.
 WIDTH, BANDS, ROWS, BITS = 5, 32, 5, 2
@@ -90,7 +90,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
-    for batch in batches:
+    for batch in (part for whole in batches for part in pieces(whole)):
         n, key, sig, bands = [], [], [], []
         for text in batch.column("text").to_pylist():
             found = shingles(text)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symweave.llm.common import release, small_enough, stored
+from symweave.llm.common import pieces, release, small_enough, stored
 
 KINDS = ("assign", "access", "hex", "linked")
 BASE = {
@@ -57,7 +57,7 @@ def weak_parts(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
     part = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string())]))
-    for batch in batches:
+    for batch in (part for whole in batches for part in pieces(whole)):
         base, weak = [], []
         for text in batch.column("text").to_pylist():
             spans = base_spans(text or "")
@@ -104,7 +104,7 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in pieces(whole)):
         texts = []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
             if spans:
