@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from symweave.llm.common import held
 
-#: Distinct words whose ids a worker remembers, twice at most (this and the last generation).
+#: Distinct words whose ids a worker remembers, twice at most (this and the last generation): memory against time only.
 REMEMBERED = 250_000
 #: Bytes of words that one recursive query encodes, and tokens that one query decodes.
 AT_ONCE, DECODED_AT_ONCE = 250_000, 200_000
 #: Rows and text bytes of one output batch.
-ROWS_OUT, BYTES_OUT = 1024, 4_000_000
+ROWS_OUT, BYTES_OUT = 1024, 1_500_000
 
 #: Token-position rows join the merge table; each word's leftmost pair of minimum rank is contracted until no row joins.
 #: Where the merged token is in no pair of a smaller rank ("lone"), nothing can come between the occurrences of that
@@ -83,7 +83,8 @@ def read_ranks(spark: SparkSession, path: str) -> list[tuple[bytes, int]]:
 class Codec:
     """A vocabulary in DuckDB tables (merges, vocabulary) and the words encoded so far."""
 
-    def __init__(self, pairs: list[tuple[bytes, int]], pattern: str):
+    def __init__(self, pairs: list[tuple[bytes, int]], pattern: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.rank = dict(pairs)
         self.pattern = regex.compile(pattern)
         self.single = np.full(256, -1, np.int32)
@@ -137,7 +138,7 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Encodes and decodes new words, short and long ones apart, in bounded queries."""
-        if len(self.ids) > REMEMBERED:
+        if len(self.ids) > self.remembered:
             self.old, self.ids = self.ids, {}
         unseen = words.difference(self.ids)
         for word in unseen.intersection(self.old):
@@ -186,7 +187,7 @@ def _lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
-def encode_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """docs without the text column, with ids (array<int>) and decoded (binary, the bytes that the ids decode to).
 
     Encodes whole texts, each match of pattern by itself and without special tokens; null is empty. Text that pattern
@@ -197,12 +198,12 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text")
     docs = docs.drop("ids", "decoded")
     pairs = read_ranks(docs.sparkSession, ranks)
     shared = docs.sparkSession.sparkContext.broadcast(pairs)
-    key = ("bpe", ranks, pattern, len(pairs))
+    key = ("bpe", ranks, pattern, len(pairs), remembered)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            codec = codec or held(key, lambda: Codec(shared.value, pattern))
+            codec = codec or held(key, lambda: Codec(shared.value, pattern, remembered))
             sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
             for at, stop in _cuts(sizes, ROWS_OUT, BYTES_OUT):
                 part = batch.slice(at, stop - at)
