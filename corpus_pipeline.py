@@ -11,8 +11,8 @@ from symweave.llm.common import stored
 from symweave.llm.queries import GOOD
 
 
-#: Words that a tokenising worker remembers: fewer than by default, as executors also hold what earlier stages needed.
-REMEMBERED = 60_000
+#: Words that a tokenising worker remembers and text bytes that it takes at once: fewer than by default, as executors also hold what earlier stages needed.
+REMEMBERED, PART_BYTES = 60_000, 1_500_000
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether the ids decode to the text."""
     given = docs.select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text")
-    done = bpe_codec.encode_decode(given, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, remembered=REMEMBERED)
+    done = bpe_codec.encode_decode(given, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, remembered=REMEMBERED, part_bytes=PART_BYTES)
     return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
 
 

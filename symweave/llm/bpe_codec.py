@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from symweave.llm.common import held
 
 #: Distinct words whose ids a worker remembers, twice at most (this and the last generation): memory against time only.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: Bytes of words that one recursive query encodes, and tokens that one query decodes.
-AT_ONCE, DECODED_AT_ONCE = 250_000, 200_000
-#: Rows and text bytes of one output batch.
-ROWS_OUT, BYTES_OUT = 1024, 1_500_000
+AT_ONCE, DECODED_AT_ONCE = 400_000, 200_000
+#: Rows and text bytes that are encoded and given out at once.
+ROWS_OUT, BYTES_OUT = 1024, 4_000_000
 
 #: Token-position rows join the merge table; each word's leftmost pair of minimum rank is contracted until no row joins.
 #: Where the merged token is in no pair of a smaller rank ("lone"), nothing can come between the occurrences of that
@@ -187,13 +187,13 @@ def _lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
-def encode_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", remembered: int = REMEMBERED, part_bytes: int = BYTES_OUT) -> DataFrame:
     """docs without the text column, with ids (array<int>) and decoded (binary, the bytes that the ids decode to).
 
     Encodes whole texts, each match of pattern by itself and without special tokens; null is empty. Text that pattern
     leaves out is not encoded. ranks is the path of a tiktoken file, read on the driver. Distinct words are encoded by
     recursive queries and decoded from their ids by ordered aggregation once per worker, and remembered up to a bound;
-    a text's ids and bytes are those of its words in order. Nothing is shuffled. Output batches are cut by size.
+    a text's ids and bytes are those of its words in order. Nothing is shuffled. Parts of part_bytes of text are encoded and given out at once.
     """
     docs = docs.drop("ids", "decoded")
     pairs = read_ranks(docs.sparkSession, ranks)
@@ -205,7 +205,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text",
         for batch in batches:
             codec = codec or held(key, lambda: Codec(shared.value, pattern, remembered))
             sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
-            for at, stop in _cuts(sizes, ROWS_OUT, BYTES_OUT):
+            for at, stop in _cuts(sizes, ROWS_OUT, part_bytes):
                 part = batch.slice(at, stop - at)
                 ids, decoded = codec.texts(part.column(text).to_pylist())
                 names = [n for n in batch.schema.names if n != text]
