@@ -1,4 +1,4 @@
-"""Q16.16 fixed-point columns: raw BIGINT values, value times 65536."""
+"""Q16.16 and (wide_*) Q32.32 fixed-point columns: raw BIGINT values, value times 65536 or 2^32."""
 
 from __future__ import annotations
 
@@ -64,3 +64,23 @@ def negate(x: Column) -> Column:
 
 def absolute(x: Column) -> Column:
     return F.when(x < 0, wrapped(-x)).otherwise(x)
+
+
+def _decimal(name: str) -> str:
+    return f"cast({name} as decimal(20, 0))"
+
+
+def wide_add(a: str, b: str) -> Column:
+    """Two's complement on 64 bits."""
+    return F.expr(f"cast(pmod({_decimal(a)} + {_decimal(b)} + 9223372036854775808BD, 18446744073709551616BD) - 9223372036854775808BD as bigint)")
+
+
+def wide_mul(a: str, b: str) -> Column:
+    """Rounds down; the product must fit in 64 bits."""
+    product = f"cast({_decimal(a)} * {_decimal(b)} as decimal(38, 0))"
+    return F.expr(f"({product} - pmod({product}, 4294967296BD)) div 4294967296BD")
+
+
+def wide_div(a: str, b: str) -> Column:
+    """Truncated towards zero; null for a zero divisor."""
+    return F.expr(f"({_decimal(a)} * 4294967296BD) div nullif({_decimal(b)}, 0BD)")

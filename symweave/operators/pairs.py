@@ -31,3 +31,29 @@ def learn_merges(docs: DataFrame, text: str, merges: int, least: int = 2) -> lis
         found.append((best["l"], best["r"], 256 + i))
         tokens = merged(tokens, *found[-1]).persist()
     return found
+
+
+def apply_merges(block: bytes, merges: list[tuple[int, int, int]]) -> list[int]:
+    """The block's tokens: each merge in order, from the left and without overlap."""
+    tokens = list(block)
+    for left, right, token in merges:
+        if left not in tokens or right not in tokens:
+            continue
+        out, at = [], 0
+        while at < len(tokens):
+            hit = tokens[at] == left and at + 1 < len(tokens) and tokens[at + 1] == right
+            out.append(token if hit else tokens[at])
+            at += 1 + hit
+        tokens = out
+    return tokens
+
+
+def expand_tokens(tokens: list[int], merges: list[tuple[int, int, int]]) -> bytes:
+    """The inverse of apply_merges(); ValueError for a token that no merge made."""
+    spelled = {i: bytes([i]) for i in range(256)}
+    for left, right, token in merges:
+        spelled[token] = spelled[left] + spelled[right]
+    try:
+        return b"".join(spelled[t] for t in tokens)
+    except KeyError as e:
+        raise ValueError("a token that no merge made") from e

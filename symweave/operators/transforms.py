@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -64,15 +65,16 @@ def move_from_front(places: bytes) -> bytes:
     return bytes(out)
 
 
-def map_blocks(df: DataFrame, column: str, out: dict[str, str], fn: Callable[[bytes], tuple]) -> DataFrame:
-    """df without column, with the columns of out (name: type) that fn gives for each block's bytes; null for null."""
+def map_blocks(df: DataFrame, column: str, out: dict[str, str], fn: Callable[[Any], tuple]) -> DataFrame:
+    """df without column, with the columns of out (name: type) that fn gives for each block: bytes, or a list from an array
+    column; null for null."""
     names = [f.name for f in df.schema if f.name != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"binary": pa.binary(), "bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+        kinds = {"binary": pa.binary(), "bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
         for batch in batches:
             values = batch.column(column).to_pylist()
-            rows = [(None,) * len(out) if v is None else fn(v if isinstance(v, bytes) else v.encode()) for v in values]
+            rows = [(None,) * len(out) if v is None else fn(v.encode() if isinstance(v, str) else v) for v in values]
             made = [pa.array([r[i] for r in rows], kinds[t]) for i, t in enumerate(out.values())]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], [*names, *out])
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symweave.functions import entropy_codes, fixed
-from symweave.operators import bitvector, dictionary, ordered, pairs, stats, transforms, tree
+from symweave.functions import bits, blobs, entropy_codes, fixed
+from symweave.operators import bitvector, blocks, dictionary, ordered, pairs, stats, transforms, tree
 from symweave.sources.tables import bfs_tree, distinct_words, order_bits, table
 from symweave.streaming.entropy import windowed_counts, windowed_entropy
 
@@ -345,3 +345,129 @@ def merge_table(spark, sf_dir):
 @query("SELECT start, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) + 0.0 AS h FROM (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY start")
 def windowed_event_entropy(spark, sf_dir):
     return _rounded(windowed_entropy(windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")))
+
+
+@query("SELECT n_nationkey, printf('%06X', n_nationkey * 262144 + n_regionkey * 16384 + length(n_name) * 4) AS encoded, n_nationkey::BIGINT AS f6, n_regionkey::BIGINT AS f4, length(n_name)::BIGINT AS f12 FROM nation")
+def bits_packed(spark, sf_dir):
+    fields = bits.packed([(F.col("n_nationkey"), 6), (F.col("n_regionkey"), 4), (F.length("n_name"), 12)])
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", fields.alias("b"))
+    return rows.select("n_nationkey", F.hex("b").alias("encoded"), *(bits.field(F.col("b"), at, n).alias(f"f{n}") for at, n in ((0, 6), (6, 4), (10, 12))))
+
+
+def _vector_size(n: str) -> str:
+    return f"(12 + ceil({n} / 8.0) + 4 * ceil({n} / 256.0) + ceil({n} / 64.0))"
+
+
+@query(f"{_BITS} SELECT pos // 4096 AS block, count(*) AS n_bits, sum(bit)::BIGINT AS ones, {_vector_size('count(*)')}::BIGINT AS bytes, true AS valid, coalesce(max(pos % 4096) FILTER (bit = 1), -1)::BIGINT AS last_one FROM b GROUP BY block")
+def blob_bit_vector(spark, sf_dir):
+    def fn(blob: bytes) -> tuple:
+        n = int.from_bytes(blob[:4], "little")
+        ones = blobs.rank_in(blob, n)
+        return n, ones, len(blob), blobs.select_in(blob, ones - 1) if ones else -1
+
+    each = blocks.packed(blocks.in_blocks(bitvector.bit_index(order_bits(spark, sf_dir), "o_orderkey"), "pos", "bit", 4096), blobs.pack_bit_vector)
+    return transforms.map_blocks(blocks.checked(each, blobs.read_bit_vector), "blob", {"n_bits": "bigint", "ones": "bigint", "bytes": "bigint", "last_one": "bigint"}, fn)
+
+
+_RUNS = f"{_SORTED}, g AS (SELECT idx // 1024 AS block, count(*) AS n, max(v) AS m, sum(v)::BIGINT AS total FROM v GROUP BY block), w AS (SELECT *, CASE WHEN (m + 1) // n <= 1 THEN 0 ELSE length(bin((m + 1) // n)) - 1 END AS l FROM g)"
+
+
+@query(f"{_RUNS} SELECT block, total, (13 + ceil(n * l / 8.0) + {_vector_size('(n + (m >> l) + 1)')})::BIGINT AS bytes, true AS valid FROM w")
+def blob_sorted(spark, sf_dir):
+    index = ordered.sorted_index(table(spark, sf_dir, "orders"), "o_orderkey")
+    each = blocks.packed(blocks.in_blocks(index, "idx", "v", 1024), blobs.pack_sorted)
+    return transforms.map_blocks(blocks.checked(each, blobs.read_sorted), "blob", {"total": "bigint", "bytes": "bigint"}, lambda b: (int(blobs.read_sorted(b).sum()), len(b)))
+
+
+@query(f"{_DELTA} SELECT idx // 1024 AS block, sum(v)::BIGINT AS total, (6 + 12 * count(DISTINCT block) + coalesce(sum(greatest(1, ceil(length(bin(delta)) / 7.0))) FILTER (delta IS NOT NULL), 0))::BIGINT AS bytes, true AS valid FROM d GROUP BY 1")
+def blob_deltas(spark, sf_dir):
+    index = ordered.sorted_index(table(spark, sf_dir, "orders"), "o_orderkey")
+    each = blocks.packed(blocks.in_blocks(index, "idx", "v", 1024), blobs.pack_deltas)
+    return transforms.map_blocks(blocks.checked(each, blobs.read_deltas), "blob", {"total": "bigint", "bytes": "bigint"}, lambda b: (sum(blobs.read_deltas(b)), len(b)))
+
+
+@query(f"{_FRONT} SELECT idx, s, true AS valid FROM i")
+def blob_strings(spark, sf_dir):
+    index = dictionary.string_index(table(spark, sf_dir, "customer"), "c_name")
+    each = blocks.checked(blocks.packed(blocks.in_blocks(index, "idx", "s", 256), lambda items: blobs.pack_strings([s.encode() for s in items])), blobs.read_strings)
+    back = transforms.map_blocks(each, "blob", {"strings": "array<string>"}, lambda b: ([s.decode() for s in blobs.read_strings(b)],))
+    return back.select("block", "valid", F.posexplode("strings").alias("i", "s")).select((F.col("block") * 256 + F.col("i")).alias("idx"), "s", "valid")
+
+
+@query(f"{_WAVE} SELECT pos, length(sym)::BIGINT AS sym, true AS valid FROM s")
+def blob_symbols(spark, sf_dir):
+    index = _events(spark, sf_dir).select("pos", F.length("sym").alias("n"))
+    each = blocks.checked(blocks.packed(blocks.in_blocks(index, "pos", "n", 4096), blobs.pack_symbols), blobs.read_symbols)
+    back = transforms.map_blocks(each, "blob", {"symbols": "array<bigint>"}, lambda b: (blobs.read_symbols(b).tolist(),))
+    return back.select("block", "valid", F.posexplode("symbols").alias("i", "sym")).select((F.col("block") * 4096 + F.col("i")).alias("pos"), "sym", "valid")
+
+
+@query(f"{_TREE} SELECT node, degree, true AS valid, (SELECT 4 + {_vector_size('(2 * count(*) + 1)')} FROM d)::BIGINT AS bytes FROM d")
+def blob_tree(spark, sf_dir):
+    nodes = bfs_tree(spark, sf_dir)
+    each = blocks.checked(blocks.packed(blocks.in_blocks(nodes, "node", "degree", 1 << 20), blobs.pack_tree), blobs.read_tree)
+    back = transforms.map_blocks(each, "blob", {"degrees": "array<bigint>", "bytes": "bigint"}, lambda b: (blobs.read_tree(b).tolist(), len(b)))
+    return back.select("valid", "bytes", F.posexplode("degrees").alias("node", "degree")).select(F.col("node").cast("long").alias("node"), "degree", "valid", "bytes")
+
+
+@query("WITH w AS (SELECT DISTINCT n_name AS s FROM nation), p AS (SELECT DISTINCT s[1:k] AS probe FROM w, range(1, 30) t(k) WHERE k <= length(s)) SELECT probe, probe IN (SELECT s FROM w) AS plain, probe IN (SELECT s FROM w) AS compact FROM p")
+def blob_automaton(spark, sf_dir):
+    def fn(items: list[str]) -> tuple:
+        words = sorted(s.encode() for s in items)
+        found = blobs.automaton(words)
+        plain, compact = (blobs.read_automaton(blobs.pack_automaton(found, kind), kind) for kind in (False, True))
+        probes = sorted({w[:k] for w in words for k in range(1, len(w) + 1)})
+        return [p.decode() for p in probes], *([int(blobs.accepts(s, p)) for p in probes] for s in (plain, compact))
+
+    by_lead = table(spark, sf_dir, "nation").groupBy(F.substring("n_name", 1, 1).alias("lead")).agg(F.collect_set("n_name").alias("items"))
+    done = transforms.map_blocks(by_lead, "items", {"probe": "array<string>", "plain": "array<bigint>", "compact": "array<bigint>"}, fn)
+    rows = done.select(F.explode(F.arrays_zip("probe", "plain", "compact")).alias("x"))
+    return rows.select("x.probe", (F.col("x.plain") == 1).alias("plain"), (F.col("x.compact") == 1).alias("compact"))
+
+
+@query("SELECT item_id, true AS lengths, true AS rans, true AS tans, true AS rotations FROM benchmark")
+def blob_coders(spark, sf_dir):
+    def fn(block: bytes) -> tuple:
+        counts = [block.count(bytes([s])) for s in range(256)]
+        lengths = entropy_codes.huffman_lengths(counts)
+        ranged = blobs.read_rans(blobs.pack_rans(block, entropy_codes.quantise(counts, 12)), len(block))
+        tabled = blobs.read_tans(blobs.pack_tans(block, entropy_codes.quantise(counts, 10)), len(block))
+        turned = transforms.unsort_rotations(*blobs.read_rotations(blobs.pack_rotations(*transforms.sort_rotations(block))))
+        return blobs.read_lengths(blobs.pack_lengths(lengths)) == lengths, ranged == block, tabled == block, turned == block
+
+    return transforms.map_blocks(table(spark, sf_dir, "benchmark").select("item_id", "text"), "text", {k: "boolean" for k in ("lengths", "rans", "tans", "rotations")}, fn)
+
+
+@query("SELECT item_id, text, true AS shorter FROM benchmark")
+def merge_round_trip(spark, sf_dir):
+    learned = pairs.learn_merges(table(spark, sf_dir, "benchmark"), "text", 6)
+    merges = [(left, right, 256 + i) for i, (left, right) in enumerate(blobs.read_merges(blobs.pack_merges([m[:2] for m in learned])))]
+
+    def fn(block: bytes) -> tuple:
+        tokens = pairs.apply_merges(block, merges)
+        return pairs.expand_tokens(tokens, merges).decode(), len(tokens) < len(block)
+
+    return transforms.map_blocks(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("body")), "body", {"text": "string", "shorter": "boolean"}, fn)
+
+
+@query("SELECT count(*) AS n, length(bin(max(length(event_type))))::BIGINT AS depth, max(length(event_type)) + 1 AS sigma, count(DISTINCT event_type) AS alphabet FROM events")
+def symbol_header(spark, sf_dir):
+    n = F.length("event_type").cast("long")
+    return table(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.greatest(F.lit(1), F.length(F.bin(F.max(n)))).cast("long").alias("depth"), (F.max(n) + 1).alias("sigma"), F.count_distinct("event_type").alias("alphabet"))
+
+
+@query("SELECT count(*) AS n, max(o_orderkey) + 1 AS universe FROM orders")
+def sorted_header(spark, sf_dir):
+    return table(spark, sf_dir, "orders").agg(F.count("o_orderkey").alias("n"), (F.max("o_orderkey") + 1).alias("universe"))
+
+
+@query("SELECT o_orderkey AS v, bit_count(o_orderkey)::BIGINT AS ones, CASE WHEN o_orderkey < 1 THEN 0 ELSE length(bin(o_orderkey)) - 1 END::BIGINT AS log2_floor FROM orders")
+def bit_counts(spark, sf_dir):
+    v = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(v.alias("v"), F.bit_count(v).cast("long").alias("ones"), F.when(v < 1, 0).otherwise(F.length(F.bin(v)) - 1).cast("long").alias("log2_floor"))
+
+
+@query("WITH r AS (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CAST(l_quantity * 4294967296 AS HUGEINT) AS a, CAST(l_discount * 100 AS HUGEINT) * 42949673 - 214748365 AS b FROM lineitem), p AS (SELECT *, a * b AS p FROM r) SELECT l_orderkey, l_linenumber, ((p - ((p % 4294967296 + 4294967296) % 4294967296)) // 4294967296)::BIGINT AS product, (a * 4294967296 // nullif(b, 0))::BIGINT AS quotient, ((a * 40000000 + b + 9223372036854775808) % 18446744073709551616 - 9223372036854775808)::BIGINT AS wrapped FROM p")
+def fixed_point_wide(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "cast(l_linenumber as bigint) as l_linenumber", "cast(rint(l_quantity * 4294967296) as bigint) as a", "cast(rint(l_discount * 100) as bigint) * 42949673 - 214748365 as b")
+    return rows.select("l_orderkey", "l_linenumber", fixed.wide_mul("a", "b").alias("product"), fixed.wide_div("a", "b").alias("quotient"), fixed.wide_add("a * 40000000", "b").alias("wrapped"))
