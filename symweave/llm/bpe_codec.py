@@ -49,8 +49,7 @@ WITH RECURSIVE state AS (
         )
     ) WHERE NOT gone
 )
-SELECT s.w, list(s.tok ORDER BY s.pos) AS ids, string_agg(v.piece, '' ORDER BY s.pos) AS body
-FROM state s JOIN vocabulary v ON v.tok = s.tok WHERE done GROUP BY s.w ORDER BY s.w
+SELECT w, list(tok ORDER BY pos) AS ids FROM state WHERE done GROUP BY w ORDER BY w
 """
 #: The same for words of ordinary length, where one contraction a round is quickest. Rows carry the token after them, so
 #: that a round is one join and one window: best has the word's least rank and its first place in one number.
@@ -67,11 +66,10 @@ WITH RECURSIVE state AS (
         WHERE NOT s.done WINDOW word AS (PARTITION BY s.w ORDER BY s.pos)
     ) WHERE best IS NULL OR before IS NULL OR before <> best % 64
 )
-SELECT s.w, list(s.tok ORDER BY s.pos) AS ids, string_agg(v.piece, '' ORDER BY s.pos) AS body
-FROM state s JOIN vocabulary v ON v.tok = s.tok WHERE done GROUP BY s.w ORDER BY s.w
+SELECT w, list(tok ORDER BY pos) AS ids FROM state WHERE done GROUP BY w ORDER BY w
 """
-#: Ordered aggregation of the tokens' bytes (as hex, which joins like text), as at the end of the queries above.
-DECODE = "SELECT t.w, string_agg(v.piece, '' ORDER BY t.pos) AS body, count(v.piece) AS known, count(*) AS n FROM token_rows t LEFT JOIN vocabulary v ON v.tok = t.tok GROUP BY t.w ORDER BY t.w"
+#: Ordered aggregation of the tokens' bytes (as the characters of these numbers, which join like text) over runs of ids.
+DECODE = "SELECT string_agg(v.piece, '' ORDER BY t.pos) AS body FROM token_rows t JOIN vocabulary v ON v.tok = t.tok"
 
 
 def read_ranks(spark: SparkSession, path: str) -> list[tuple[bytes, int]]:
@@ -101,43 +99,50 @@ class Codec:
         self.db.register("given", pa.table({"l": pa.array(left, pa.int64()), "r": pa.array(right, pa.int64()), "merged": pa.array(merged, pa.int64())}))
         self.db.execute("CREATE TABLE merges AS SELECT l * 4294967296 + r AS pair, merged, coalesce(least >= merged, true) AS lone FROM given LEFT JOIN (SELECT tok, min(m) AS least FROM (SELECT l AS tok, merged AS m FROM given UNION ALL SELECT r, merged FROM given) GROUP BY tok) ON tok = merged")
         self.db.unregister("given")
-        self.db.register("words", pa.table({"tok": pa.array([r for _, r in pairs], pa.int32()), "piece": [t.hex() for t, _ in pairs]}))
+        self.db.register("words", pa.table({"tok": pa.array([r for _, r in pairs], pa.int32()), "piece": [t.decode("latin-1") for t, _ in pairs]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM words")
         self.db.unregister("words")
+        self.sizes = np.full(max((r for _, r in pairs), default=-1) + 1, -1, np.int32)
+        self.sizes[[r for _, r in pairs]] = [len(t) for t, _ in pairs]
         self.ids: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _rows(self, w: np.ndarray, pos: np.ndarray, tok: np.ndarray, query: str) -> pa.Table:
-        self.db.register("token_rows", pa.table({"w": w.astype(np.int32), "pos": pos.astype(np.int32), "tok": tok.astype(np.int32)}))
+    def _rows(self, query: str, **columns: np.ndarray) -> pa.Table:
+        self.db.register("token_rows", pa.table({k: v.astype(np.int32) for k, v in columns.items()}))
         out = self.db.sql(query).to_arrow_table()
         self.db.unregister("token_rows")
         return out
 
-    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """All ids one word after another, where each word's begin and end, and the bytes that they decode to."""
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one word after another, and where each word's begin and end."""
         n = np.fromiter(map(len, words), np.int64, len(words))
         tok = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        if (tok < 0).any():
+            raise ValueError("words that ids can't be decoded to: the vocabulary lacks a single byte")
         start = np.cumsum(n) - n
-        table = self._rows(np.repeat(np.arange(len(words)), n), np.arange(len(tok)) - np.repeat(start, n), tok, ENCODE if n.max() >= 64 else ENCODE_SHORT)
+        table = self._rows(ENCODE if n.max() >= 64 else ENCODE_SHORT, w=np.repeat(np.arange(len(words)), n), pos=np.arange(len(tok)) - np.repeat(start, n), tok=tok)
         ids = table.column("ids").combine_chunks()
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
         ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
-        return ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ends, list(map(bytes.fromhex, table.column("body").to_pylist()))
+        return ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ends
 
     def decode(self, tok: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        """The bytes of each run of ids; ends as from encode_words. Unknown ids raise ValueError."""
-        n = np.diff(ends)
-        out, full = [b""] * len(n), np.flatnonzero(n)
-        if len(full):
-            table = self._rows(np.repeat(np.arange(len(n)), n), np.arange(len(tok)) - np.repeat(ends[:-1], n), tok, DECODE)
-            if (table.column("known").to_numpy() != table.column("n").to_numpy()).any():
-                raise ValueError("an id is not in the vocabulary")
-            for w, body in zip(table.column("w").to_pylist(), table.column("body").to_pylist(), strict=True):
-                out[w] = bytes.fromhex(body)
-        return out
+        """The bytes of each run of ids; ends as from encode_words. Unknown ids raise ValueError.
+
+        The ids are decoded in parts of a fixed size, whatever the runs, and the bytes cut by the sizes of the tokens.
+        """
+        if len(tok) and (tok.min() < 0 or tok.max() >= len(self.sizes) or self.sizes[tok].min() < 0):
+            raise ValueError("an id is not in the vocabulary")
+        body = []
+        for at in range(0, len(tok), DECODED_AT_ONCE):
+            part = tok[at : at + DECODED_AT_ONCE]
+            body.append(self._rows(DECODE, pos=np.arange(len(part)), tok=part).column("body")[0].as_py().encode("latin-1"))
+        whole = b"".join(body)
+        cuts = np.concatenate([[0], np.cumsum(self.sizes[tok], dtype=np.int64)])[ends].tolist()
+        return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def learn(self, words: set[str]) -> None:
-        """Encodes and decodes new words, short and long ones apart, in bounded queries."""
+        """Encodes new words, short and long ones apart, in bounded queries."""
         if len(self.ids) > self.remembered:
             self.old, self.ids = self.ids, {}
         unseen = words.difference(self.ids)
@@ -145,7 +150,7 @@ class Codec:
             self.ids[word] = self.old[word]
         fresh = [(word, word.encode()) for word in unseen.difference(self.old)]
         whole = [(w, b) for w, b in fresh if b in self.rank]
-        for word, body in whole:  # a token by itself stays whole
+        for word, body in whole:  # a word that is a token stays whole, which the tokeniser's rule puts before merges
             self.ids[word] = np.int32(self.rank[body]).tobytes()
         rest = [x for x in fresh if x[1] not in self.rank]
         for part in ([x for x in rest if len(x[1]) < 64], [x for x in rest if len(x[1]) >= 64]):
@@ -156,19 +161,17 @@ class Codec:
 
     def _learn_part(self, part: list[tuple[str, bytes]]) -> None:
         names, bodies = zip(*part, strict=True)
-        ids, ends, decoded = self.encode_words(bodies)
+        ids, ends = self.encode_words(bodies)
         packed, ends = ids.tobytes(), (ends * 4).tolist()
         self.ids.update(zip(names, (packed[a:b] for a, b in zip(ends, ends[1:])), strict=True))
-        if decoded != list(bodies):
-            raise ValueError("ids that do not decode to their word: the vocabulary lacks a single byte")
 
     def texts(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
-        """Of each text, the ids (int32 bytes) and the bytes that these decode to: those of its words in order, which
-        learn() has decoded from their ids and found to be the words themselves."""
+        """Of each text, the ids (int32 bytes), those of its words in order, and the bytes that these ids decode to."""
         split = [self.pattern.findall(t) if t else [] for t in texts]
         self.learn(set().union(*split) if split else set())
-        ids = self.ids.__getitem__
-        return [b"".join(map(ids, s)) for s in split], ["".join(s).encode() for s in split]
+        ids = [b"".join(map(self.ids.__getitem__, s)) for s in split]
+        ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+        return ids, self.decode(np.frombuffer(b"".join(ids), np.int32), ends)
 
 
 def _cuts(sizes: list[int], rows: int, most: int) -> Iterator[tuple[int, int]]:
@@ -191,9 +194,10 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text",
     """docs without the text column, with ids (array<int>) and decoded (binary, the bytes that the ids decode to).
 
     Encodes whole texts, each match of pattern by itself and without special tokens; null is empty. Text that pattern
-    leaves out is not encoded. ranks is the path of a tiktoken file, read on the driver. Distinct words are encoded by
-    recursive queries and decoded from their ids by ordered aggregation once per worker, and remembered up to a bound;
-    a text's ids and bytes are those of its words in order. Nothing is shuffled. Parts of part_bytes of text are encoded and given out at once.
+    leaves out is not encoded. ranks is the path of a tiktoken file, read on the driver. Distinct words are encoded once
+    per worker and remembered up to a bound: those that are a token by lookup, all others by recursive queries. A text's
+    ids are those of its words in order; its bytes come from these ids, of each row, by ordered aggregation in parts of
+    a fixed size. Nothing is shuffled. Parts of part_bytes of text are encoded and given out at once.
     """
     docs = docs.drop("ids", "decoded")
     pairs = read_ranks(docs.sparkSession, ranks)

@@ -133,6 +133,17 @@ def test_bpe(spark):
     assert bpe_codec.encode_decode(rows.limit(0), RANKS, PATTERN).count() == 0
 
 
+def test_bpe_decodes_the_ids_given_out(spark, monkeypatch):
+    monkeypatch.setattr(bpe_codec, "DECODED_AT_ONCE", 7)  # texts lie across parts
+    codec = bpe_codec.Codec(bpe_codec.read_ranks(spark, RANKS), PATTERN)
+    texts = ["one two\x00 three é😀 " * 5, None, "", " two"]
+    assert codec.texts(texts)[1] == [(t or "").encode() for t in texts]
+    codec.ids[" two"] = codec.ids[" three"]  # a wrongly remembered word is seen in what its text decodes to
+    assert codec.texts(texts)[1] == [(t or "").replace(" two", " three").encode() for t in texts]
+    with pytest.raises(ValueError):
+        codec.decode(np.array([len(codec.sizes)], np.int32), np.array([0, 1]))
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     items = [(i, random_text(rng, 30)) for i in range(20)] + [(20, "tiny item"), (21, None), (22, ""), (0, None)]
