@@ -22,7 +22,7 @@ BASE = {
 #: Parts that are weak evidence alone: who asks, with what, and where.
 IDENTIFIER = re.compile(r"""(?ai)\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]{3,})|\b(?:AKIA|ASIA)[A-Z0-9]{12,}""")
 ENDPOINT = re.compile(r"""(?ai)\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+|\b(?:host|server|endpoint|url)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::\d+)?)""")
-SECRET = re.compile(r"(?a)(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/=_-])")
+SECRET = re.compile(r"(?a)(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/=_-])")  # runs of any length, each read once
 #: Code points within which parts belong to one scope.
 SCOPE = 200
 

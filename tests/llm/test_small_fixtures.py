@@ -168,6 +168,13 @@ def test_secrets(spark):
     assert secrets.scan_secrets(docs_of(spark, [])).count() == 0
 
 
+def test_secrets_of_any_length(spark):
+    rng = random.Random(10)
+    texts = ["user = bob " + "".join(rng.choice("abcdefghijABCDEFGHIJ0123456789_-") for _ in range(n)) + end for n, end in ((128, ""), (129, "=="), (168, " x"), (700, "\n"), (50_000, "."))]
+    for r in secrets.scan_secrets(docs_of(spark, list(enumerate(texts)))).collect():
+        assert [(s.kind, s.start, s.stop) for s in r.spans] == [("linked", 11, len(texts[r.doc_id].rstrip(" x\n.")))]
+
+
 def test_url_filter(spark):
     link = lambda u: f'<head><!-- <link rel=canonical href="http://no.net/"> --><LINK href="{u}" rel="Canonical"></head>'
     rows = [
