@@ -23,6 +23,8 @@ BASE = {
 IDENTIFIER = re.compile(r"""(?ai)\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]{3,})|\b(?:AKIA|ASIA)[A-Z0-9]{12,}""")
 ENDPOINT = re.compile(r"""(?ai)\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+|\b(?:host|server|endpoint|url)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::\d+)?)""")
 SECRET = re.compile(r"(?a)(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/=_-])")  # runs of any length, each read once
+#: What comes before the host of a URL that holds a user or a password: these are no part of the endpoint.
+USERINFO = re.compile(r"(?ai)[a-z][a-z0-9+.-]{1,15}://(?:[^\s/?#@]*|[^\s/?#@:]+:(?!\d+/)[^\s?#@]+)@")
 #: Code points within which parts belong to one scope.
 SCOPE = 200
 
@@ -51,7 +53,10 @@ def weak_parts(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
         return []
     out = [(a, b, "secret") for a, b in secrets]
     out += [(*m.span(), "identifier") for m in IDENTIFIER.finditer(text)]
-    return out + [(*m.span(), "endpoint") for m in ENDPOINT.finditer(text)]
+    for m in ENDPOINT.finditer(text):
+        user = USERINFO.match(text, m.start(), m.end())
+        out.append((user.end() if user else m.start(), m.end(), "endpoint"))
+    return out
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +72,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked_secrets(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Weak secrets with a complementary part within scope: the key columns, start, stop.
+    """Weak secrets with a complementary part within scope that doesn't overlap them: the key columns, start, stop.
 
     parts: key columns, start, stop, kind. An interval join: each part falls in the bucket of its position, a secret
     looks into its own bucket and both neighbours, and the gap is then tested. Buckets hold one scope of one text, so
@@ -80,14 +85,15 @@ def linked_secrets(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     same = F.col("_bucket") == F.col("_other")
     for c in keys:
         same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    apart = (F.col("_stop") <= F.col("start")) | (F.col("_start") >= F.col("stop"))
     near = (F.col("_start") <= F.col("stop") + scope) & (F.col("_stop") >= F.col("start") - scope)
-    return secrets.join(others, same & near, "left_semi").select(*keys, "start", "stop").distinct()
+    return secrets.join(others, same & near & apart, "left_semi").select(*keys, "start", "stop").distinct()
 
 
 def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Per row of docs: doc_id, text_hash, spans (array of start, stop, kind by start, then kind as listed).
 
-    Base spans are always there; spans of kind linked are weak secrets with an identifier or endpoint in scope. Null
+    Base spans are always there; spans of kind linked are weak secrets with an identifier or endpoint in scope that doesn't overlap them. Null
     texts are empty. Rows are told apart by doc_id and text, so repeated rows have equal results and nothing is shared
     between different texts of one id. Whole texts are read, however long.
     """

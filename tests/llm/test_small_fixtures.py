@@ -175,6 +175,15 @@ def test_secrets_of_any_length(spark):
         assert [(s.kind, s.start, s.stop) for s in r.spans] == [("linked", 11, len(texts[r.doc_id].rstrip(" x\n.")))]
 
 
+def test_secrets_do_not_link_with_themselves(spark):
+    weak = "q7Zx2LmNp0RtVw9YbCdE4fGh"
+    url = "https://docs.google.com/document/d/1A2b3C4d5E6f7G8h9I0j/edit"
+    texts = [f"see {url} there", f"account = {weak}", f"host: a.net account = {weak}", f"client_id = {weak[::-1]}, {weak}", f"ftp://bob:{weak}@a.net/x", f"user = bob {weak}", f"http://a.net/{weak}/@b"]
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.stop] for s in r.spans] for r in secrets.scan_secrets(docs_of(spark, list(enumerate(texts)))).collect()}
+    assert found == {0: [], 1: [], 2: [weak], 3: [weak], 4: [weak], 5: [weak], 6: []}
+    assert secrets.redact_secrets(docs_of(spark, [(0, texts[0])])).first().text == texts[0]
+
+
 def test_url_filter(spark):
     link = lambda u: f'<head><!-- <link rel=canonical href="http://no.net/"> --><LINK href="{u}" rel="Canonical"></head>'
     rows = [
