@@ -110,6 +110,12 @@ def bits_rank_at(spark, sf_dir):
     return bitvector.rank_at(index, spark.range(0, 21000, 7).toDF("probe"), "probe").select("probe", "rank1", "rank0")
 
 
+@query(f"{_BITS} SELECT pos AS probe, rank1, pos - rank1 AS rank0 FROM r UNION ALL SELECT count(*), coalesce(sum(bit), 0)::BIGINT, (count(*) - coalesce(sum(bit), 0))::BIGINT FROM b")
+def bits_rank_at_all(spark, sf_dir):
+    index = bitvector.bit_index(order_bits(spark, sf_dir), "o_orderkey")
+    return bitvector.rank_at(index, spark.range(0, index.count() + 1).toDF("probe"), "probe").select("probe", "rank1", "rank0")
+
+
 for _bit, _name in ((1, "bits_select1"), (0, "bits_select0")):
     def _select(spark, sf_dir, bit=_bit):
         index = bitvector.bit_index(order_bits(spark, sf_dir), "o_orderkey")
@@ -119,6 +125,15 @@ for _bit, _name in ((1, "bits_select1"), (0, "bits_select0")):
     ORACLES[_name] = f"{_BITS} SELECT p.k * 7 AS probe, coalesce(pos, (SELECT count(*) FROM b)) AS pos FROM range(0, 3000) p(k) LEFT JOIN (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS i FROM b WHERE bit = {_bit}) ON i = p.k * 7"
 
 
+for _bit, _name in ((1, "bits_select1_all"), (0, "bits_select0_all")):
+    def _select_all(spark, sf_dir, bit=_bit):
+        index = bitvector.bit_index(order_bits(spark, sf_dir), "o_orderkey")
+        return bitvector.select_at(index, spark.range(0, index.where(F.col("bit") == bit).count() + 1).toDF("probe"), "probe", bit)
+
+    QUERIES[_name] = _select_all
+    ORACLES[_name] = f"{_BITS} SELECT row_number() OVER (ORDER BY pos) - 1 AS probe, pos FROM b WHERE bit = {_bit} UNION ALL SELECT count(*) FILTER (bit = {_bit}), count(*) FROM b"
+
+
 @query(f"{_BITS} SELECT count(*) AS total_bits, sum(bit)::BIGINT AS total_ones FROM b")
 def bits_totals(spark, sf_dir):
     return order_bits(spark, sf_dir).agg(F.count("*").alias("total_bits"), F.sum("bit").alias("total_ones"))
@@ -150,6 +165,20 @@ def symbol_select(spark, sf_dir):
     return bitvector.symbol_select(index, symbols.select("sym", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2189).cast("long"), F.lit(11).cast("long"))).alias("i")))
 
 
+@query(f"{_WAVE} SELECT p.sym, s.pos AS \"at\", count(*) FILTER (s.sym = p.sym) OVER (PARTITION BY p.sym ORDER BY s.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rank FROM s CROSS JOIN (SELECT DISTINCT sym FROM s) p UNION ALL SELECT sym, (SELECT count(*) FROM s), count(*) FROM s GROUP BY sym")
+def symbol_rank_all(spark, sf_dir):
+    index = _events(spark, sf_dir)
+    places = spark.range(0, index.count() + 1).toDF("at")
+    return bitvector.symbol_rank(index, places.crossJoin(F.broadcast(index.select("sym").distinct())).select("sym", "at"))
+
+
+@query(f"{_WAVE} SELECT sym, occ AS i, pos FROM o UNION ALL SELECT sym, count(*), (SELECT count(*) FROM s) FROM s GROUP BY sym")
+def symbol_select_all(spark, sf_dir):
+    index = _events(spark, sf_dir)
+    ends = index.groupBy("sym").agg(F.count("*").alias("i"))
+    return bitvector.symbol_select(index, index.select("sym", F.col("occ").alias("i")).unionByName(ends))
+
+
 @query("SELECT event_type AS sym, count(*) AS n FROM events GROUP BY ALL")
 def symbol_count(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("sym")).agg(F.count("*").alias("n"))
