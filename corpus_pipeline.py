@@ -45,7 +45,8 @@ def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", good_quality), ("near_dedup", one_of_each), ("decontamination", without_benchmark), ("secrets", without_secrets), ("bpe", tokenised)]
 
-#: The classifier's training and the recursive tokeniser are beyond SQL; tests compare each stage with brute force.
+#: The classifier's training and the recursive tokeniser are beyond SQL; tests compare the operators of
+#: the stages with brute force one by one; of whole runs they check row counts, round trips and that no equal texts are kept.
 ORACLE_SQL = None
 
 
