@@ -19,13 +19,17 @@ RAW = "script style noscript template iframe object svg math canvas textarea sel
 VOID = "area base br col embed hr img input link meta param source track wbr"
 BLOCKS = "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul"
 BOILERPLATE = "nav header footer aside form menu button dialog head label"
+#: Elements that leave an open head open, and those whose text isn't markup, so that they reach the end tag or the page's end.
+IN_HEAD = "html head base basefont bgsound link meta title script style noscript noframes template"
+PLAIN = "script style title textarea iframe noscript"
 #: Words of class, id and role that mark parts beside the article.
 MARKS = "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header footer masthead banner sidebar side aside related recommended recommendations share sharing social cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments respond reply replies disqus pagination pager widget toolbar skip legal copyright form search contentinfo complementary"
-_RAW, _VOID, _BLOCK, _BESIDE, _MARKS = (frozenset(x.split()) for x in (RAW, VOID, BLOCKS, BOILERPLATE, MARKS))
+_RAW, _VOID, _BLOCK, _BESIDE, _IN_HEAD, _PLAIN, _MARKS = (frozenset(x.split()) for x in (RAW, VOID, BLOCKS, BOILERPLATE, IN_HEAD, PLAIN, MARKS))
 _CLOSES_P = _BLOCK - {"html", "body", "head"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _WORD = re.compile(r"[a-z]+")
+_UNQUOTED_END = re.compile(r"=\s*[^\s\"'>]+/\Z")
 _SPACE = re.compile(r"\s+")
 _RAW_END = {name: re.compile(rf"</{name}\s*[^>]*>", re.I) for name in _RAW}
 
@@ -54,7 +58,7 @@ def read_page(page: str) -> tuple[list[str], list[Block]]:
         nonlocal links
         if buffer:
             text = _SPACE.sub(" ", references.unescape("".join(buffer))).strip()
-            if text and not (stack and stack[-1][2]):
+            if text:  # only text that isn't beside the article is buffered
                 blocks.append(Block(tuple(i for _, i, _ in stack if i >= 0), text, min(links, len(text))))
             buffer.clear()
         links = 0
@@ -69,6 +73,8 @@ def read_page(page: str) -> tuple[list[str], list[Block]]:
     while at < len(page):
         m = _TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
+        if stack and stack[-1][0] == "head" and text.strip():
+            close(len(stack) - 1)
         if text and not (stack and stack[-1][2]):
             buffer.append(text)
             if in_link:
@@ -89,9 +95,14 @@ def read_page(page: str) -> tuple[list[str], list[Block]]:
                 if name not in _BLOCK and stack[k][0] in _BLOCK:
                     break
             continue
+        if stack and stack[-1][0] == "head" and name not in _IN_HEAD:  # </head> may be left out
+            close(len(stack) - 1)
         if name in _RAW:
+            if name in ("svg", "math") and m[3].endswith("/") and not _UNQUOTED_END.search(m[3]):
+                continue
             end = _RAW_END[name].search(page, at)
-            at = end.end() if end else len(page)
+            if end or name in _PLAIN:
+                at = end.end() if end else len(page)
             continue
         if name == "br":
             buffer.append(" ") if not (stack and stack[-1][2]) else None

@@ -207,6 +207,17 @@ def test_html(spark):
     assert html_extraction.extract_main_text(frame.limit(0)).count() == 0
 
 
+def test_html_keeps_text_of_valid_pages():
+    text = lambda page: html_extraction.text_in(page, None)
+    assert text("<html><head><title>T</title><meta charset=utf-8><body><p>One</p><p>Two</p></body></html>") == "One Two"
+    assert text("<html><head><title>T</title><p>One<p>Two") == "One Two"
+    assert text("<head><title>T</title>\nbare text") == "bare text"
+    assert text('<div>a<svg width="1"/>b<math/>c<svg><path d="x"/></svg>d<svg width=1/>no</svg>e</div>') == "abcde"
+    assert text("<div>a<canvas>b</div><div>c</div>") == "ab c"
+    assert text("<div>text <button><div>x</div></button> more</div>") == "text more"
+    assert text("<div>a<script>no</div>") == "a"
+
+
 def test_quality(spark):
     rng = random.Random(7)
     rows = [(i, random_text(rng, 60) if i % 4 else "### ".join(random_text(rng, 40).split())) for i in range(240)]
