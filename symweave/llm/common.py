@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import tempfile
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 _own_folder: list[str] = []
+_known_folders: set[str] = set()
 _held: dict[object, object] = {}
 
 
@@ -42,32 +44,58 @@ def pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one on a local master, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="symweave-"))
     return f"file://{_own_folder[0]}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended already
+        _delete(spark, path)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends here and lost executors cost nothing."""
+    """df written as Parquet to the shared folder and read again: lineage ends here and lost executors cost nothing.
+
+    forget() deletes the files; those that results still read go when the driver's Python ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/symweave/{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/symweave/{spark.sparkContext.applicationId}"
+    if folder not in _known_folders:
+        _known_folders.add(folder)
+        atexit.register(_delete_at_exit, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a table made by stored() that nothing reads any more."""
-    path = getattr(df, "stored_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes the files of tables made by stored() that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "stored_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """name, with as many underscores in front as no column of the tables has: for columns that are added for a while."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -76,7 +104,7 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """Smallest reachable node of each node on an edge: (node, component), by alternating large and small stars.
+    """Smallest reachable node of each node on an edge: (node, component), by alternating large and small stars; stored.
 
     edges: two columns of one orderable type; nulls are dropped, loops keep their node. Each round is two grouped minima
     and joins on the node; a node with very many edges is pre-aggregated, and its join is split by adaptive execution.
@@ -84,8 +112,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns[:2]
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     given = stored(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    now, before = given.where("u <> v"), None
-    old = None
+    now, before, old = given.where("u <> v"), None, None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -94,12 +121,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         state = now.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38,0)))")).first()
-        if old is not None:
-            forget(old)
+        forget(old)
         if state == before:
             break
         old, before = now, state
     alone = given.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     named = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-    return named.unionByName(alone.join(named, "node", "left_anti"))
+    out = stored(named.unionByName(alone.join(named, "node", "left_anti")))
+    forget(given, now)
+    return out

@@ -85,14 +85,14 @@ def filter_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = No
     pages: page_id, url, html; edges: (source, target) as url keys, by default those that the pages' html declares.
     A rule that fits the url itself decides. Else the url's class decides: all urls linked by redirects or canonical
     links, pages or not, each judged by the rules. One explicitly allowed member allows the class, else one blocked
-    member blocks it, else it is allowed. Null or malformed urls have empty host and path and are allowed; repeated
-    rows are judged alike; an empty table or no rules at all are fine.
+    member blocks it, else it is allowed. Null or malformed urls have empty host and path and are allowed; urls and html
+    are read whole, however long; repeated rows are judged alike; an empty table gives no rows, and without rules all are
+    allowed. Of two rules as long as each other, allow wins. Other columns of pages, whatever their names, have no part.
     """
     places = pages.select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), url_key(F.col("url")).alias("_key"))
     own = judged(places, rules)
     edges = page_links(pages) if edges is None else edges.toDF("source", "target")
-    classes = connected_components(edges)
-    members = stored(classes.select(F.col("node").alias("_key"), "component"))
+    members = connected_components(edges).select(F.col("node").alias("_key"), "component")
     as_url = F.concat(F.lit("x://"), F.col("_key"))
     known = judged(members.select("_key", "component", url_host(as_url).alias("host"), url_path(as_url).alias("path")), rules)
     decided = known.where("ruled is not null").groupBy("component").agg(F.min("ruled").alias("carried"))
