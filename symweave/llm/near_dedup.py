@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symweave.llm.common import connected_components, forget, pieces, release, small_enough, stored
+from symweave.llm.common import connected_components, forget, pieces, release, small_enough, stored, unused
 
 #: Words of a shingle; bands and minima of a band; low bits kept of each minimum.
 WIDTH, BANDS, ROWS, BITS = 5, 32, 5, 2
@@ -132,9 +132,12 @@ def least_estimate(similarity: float) -> float:
 def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """node, hashes: the whole shingle set of each class in nodes, from the text of its representative."""
     wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
-    wanted = small_enough(stored(wanted), 500_000)
+    named = stored(wanted)
+    wanted = small_enough(named, 500_000)
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")))
-    return stored(texts.select("node", "text").mapInArrow(_sets, "node binary, hashes array<bigint>"))
+    sets = stored(texts.select("node", "text").mapInArrow(_sets, "node binary, hashes array<bigint>"))
+    forget(named)
+    return sets
 
 
 def similar(x: str, y: str, percent: int) -> Column:
@@ -175,7 +178,7 @@ HUBS = 3
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """Per row of docs: doc_id, text_hash, n_shingles, component_id, kept.
+    """Per row of docs: doc_id, text_hash, n_shingles, component_id, kept, component (a key of the group, null without words).
 
     Two documents are linked if 100 * intersection >= percent * union of their distinct word shingles; component_id is
     the smallest doc_id reachable over links. Documents with equal sets are one class from the start, so copies are
@@ -184,9 +187,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     HUBS more; last, what is still in different components of a bucket is compared inside a join that emits links only.
     Pairs that the b-bit estimate rules out are not confirmed; ERRORS bounds what that loses.
 
-    Null and empty texts have no shingles, are linked with nothing and are kept. Rows that share an id but not a text
-    are documents of their own. Ids that are null take no part in the smallest; where a component has no other, it is
-    null. An empty table gives no rows. Ties can't occur: ids and set keys are ordered.
+    Null and empty texts have no shingles, are linked with nothing and are kept; texts are read whole, however long. Rows
+    that share an id but not a text are documents of their own; repeated rows each give a row, all of them kept if one
+    is. Ids that are null take no part in the smallest; where a component has no other, it is null. An empty table gives
+    no rows; other columns of docs, whatever their names, have no part. Ties can't occur: ids and set keys are ordered.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     base = stored(docs.mapInArrow(_sign, "doc_id bigint, text_hash bigint, n_shingles bigint, set_key binary, sig array<bigint>, bands array<bigint>"))
@@ -200,7 +204,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     met = stored(members.join(degrees, "node").join(classes.select("node", "sig"), "node").select("key", "node", "sig", "degree"))
     forget(members)
     enough = least_estimate(percent / 100)
-    links, labels = None, None
+    links, labels, done = None, None, []
     for turn in range(3):
         if labels is None:
             now = met.withColumn("c", F.col("node"))
@@ -217,21 +221,41 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             pairs = now.join(hubs, "key").where(F.col("c") != F.col("d")).where(estimate("x", "sig") >= enough)
             pairs = stored(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
             found = confirmed(pairs, classes, docs, percent)
+            forget(pairs)
         else:
             found = confirmed_within(now.select("key", "node", "sig", "c"), classes, docs, percent, enough)
+        done.append(found)
         links = found if links is None else links.unionByName(found)
-        labels = stored(connected_components(links).toDF("node", "component"))
+        forget(now, labels)
+        labels = connected_components(links)
+    forget(met, *done)
     named = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = named.join(least, "component").select(F.col("node").alias("_key"), "component_id")
+    of_class = named.join(least, "component").select(F.col("node").alias("_key"), "component_id", "component")
     out = base.select("doc_id", "text_hash", "n_shingles", "set_key").join(of_class, F.col("set_key") == F.col("_key"), "left")
-    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    smallest = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", smallest.alias("component_id"), smallest.eqNullSafe(F.col("doc_id")).alias("kept"), "component")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One document of each group: the rows of docs that near_duplicates() keeps, repeated rows once, all columns."""
-    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    one = docs.withColumn("_text_hash", F.xxhash64("text"))
-    one = one.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text_hash") == F.col("_h")), "left_semi")
-    return one.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    """One document of each group, with all its columns: that of the smallest doc_id, null being the largest.
+
+    Of several texts of that id in one group, the one with the smaller hash stays. Null and empty texts are in no group
+    and stay. Repeated rows stay once. The whole texts move only for rows that are repeated, and where more documents go
+    than a broadcast may have rows.
+    """
+    d, h, own = unused("_d", docs), unused("_h", docs), unused("_text_hash", docs)
+    found = near_duplicates(docs, percent).groupBy("doc_id", "text_hash", "component").agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("best")
+    chosen = found.where("component is not null").groupBy(F.col("component").alias("_of")).agg(best)
+    stays = F.expr("component is null or (doc_id <=> best.doc_id and text_hash = best.text_hash)")
+    states = stored(found.join(chosen, F.col("component") == F.col("_of"), "left").select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), "n", stays.alias("stays")))
+    same = lambda other: F.col("doc_id").eqNullSafe(other[d]) & (F.col(own) == other[h])
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    apart = small_enough(states.where("not stays or n > 1"))
+    out = rows.join(apart, same(apart), "left_anti")
+    repeated = states.where("stays and n > 1")
+    if repeated.limit(1).count():
+        repeated = small_enough(repeated)
+        out = out.unionByName(rows.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", own]))
+    return out.select(*docs.columns)
