@@ -7,17 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symweave.llm.common import held
 
 #: Filters, bytes that a filter sees, bytes of a block; blocks of a chunk and from one chunk to the next; hidden units.
 FILTERS, SPAN, BLOCK, CHUNK, STEP, HIDDEN = 16, 6, 32, 8, 4, 12
-#: Labelled rows that a model is fitted on at most, and the text bytes that each may have.
-SAMPLE, SAMPLE_BYTES = 2000, 100_000
-#: Blocks that are convolved at once.
-AT_ONCE = 2048
+#: Labelled rows that a model is fitted on at most, and the bytes of all their texts, which the driver holds.
+SAMPLE, SAMPLE_BYTES = 2000, 64_000_000
+#: Blocks that are convolved at once; rows, and bytes of texts, that are laid out at once.
+AT_ONCE, ROWS_AT_ONCE, BYTES_AT_ONCE = 2048, 512, 1 << 20
 _OUT = np.float32(-1e9)
 
 
@@ -86,12 +86,12 @@ class Scorer:
         buffer, first, blocks, padding = _laid_out(texts)
         total = int(blocks.sum())
         maxima = np.empty((total, FILTERS), np.float32)
-        pair = buffer[:-1].astype(np.int32) * 256 + buffer[1:]
         for at in range(0, total, AT_ONCE):
             a, b = at * BLOCK, min(total, at + AT_ONCE) * BLOCK
-            z = self.pairs[0].take(pair[a:b], axis=0)
+            pair = buffer[a : b + SPAN - 2].astype(np.int32) * 256 + buffer[a + 1 : b + SPAN - 1]
+            z = self.pairs[0].take(pair[: b - a], axis=0)
             for k in range(1, SPAN // 2):
-                z += self.pairs[k].take(pair[a + 2 * k : b + 2 * k], axis=0)
+                z += self.pairs[k].take(pair[2 * k : b - a + 2 * k], axis=0)
             lo, hi = np.searchsorted(padding, [a, b])
             z[padding[lo:hi] - a] = _OUT
             maxima[at : at + AT_ONCE] = z.reshape(-1, BLOCK, FILTERS).max(axis=1)
@@ -162,21 +162,36 @@ def _gradients(net: Network, texts: list[bytes], labels: np.ndarray) -> list[np.
     return [d_tables, d_active.sum(axis=0), features.T @ d_hidden + 1e-4 * net.w1, d_hidden.sum(axis=0), hidden.T @ d_out + 1e-4 * net.w2, d_out.sum(axis=0)]
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """A network fitted on at most sample labelled rows, chosen by the hash of their ids.
-
-    labels: doc_id, quality (0 or 1; rows with nulls are left out). The ids are chosen first, so that only the chosen
-    texts (of up to SAMPLE_BYTES bytes, null as empty) come to the driver.
-    """
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, quality) to learn from: whole texts, one for each of at most sample ids, in the order of the ids'
+    hashes as long as the texts together have at most sample_bytes bytes."""
     ids = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = texts.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(2 * sample).toPandas()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("text").alias("text"))
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = texts.select("doc_id", F.octet_length("text").cast("long").alias("size"))  # at most sample rows
+    fits = sizes.withColumn("total", F.sum("size").over(so_far)).where(F.col("total") <= sample_bytes).select("doc_id")
+    return texts.join(F.broadcast(fits), "doc_id")
+
+
+def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network:
+    """A network fitted on the labelled rows of training_rows(), whose parameters bound what comes to the driver.
+
+    labels: doc_id, quality (0 or 1; rows with nulls are left out). Of an id that is labelled twice the higher label
+    counts; of one with several texts, the first in their order. Null texts are empty. An empty table on either side, or
+    one class alone, gives a network that answers with the share of label 1. Other columns have no part.
+    """
+    rows = training_rows(docs, labels, sample, sample_bytes).toPandas().sort_values("doc_id")
     return fit([t.encode("utf-8", "surrogatepass") for t in rows["text"]], rows["quality"].to_numpy(np.int64))
 
 
 def score_quality(docs: DataFrame, net: Network) -> DataFrame:
-    """docs with score (0 to 1, higher: good quality likelier), from the whole text alone; null is empty."""
+    """docs with score (0 to 1, higher: good quality likelier), from the whole text alone, however long; null is empty.
+
+    Equal texts have equal scores, whatever rows are beside them, so repeated rows do and ties stay ties. An empty table
+    gives no rows. A column of docs that is called score is replaced; all others stay.
+    """
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(net)
     key = ("quality", net.tables.tobytes())
@@ -186,11 +201,13 @@ def score_quality(docs: DataFrame, net: Network) -> DataFrame:
         for batch in batches:
             column, out = batch.column("text"), []
             texts: list[bytes] = []
+            held_bytes = 0
             for i in range(len(column)):
                 texts.append((column[i].as_py() or "").encode("utf-8", "surrogatepass"))
-                if len(texts) == 512 or sum(map(len, texts[-1:])) > 1 << 20 or i + 1 == len(column):
+                held_bytes += len(texts[-1])
+                if len(texts) == ROWS_AT_ONCE or held_bytes >= BYTES_AT_ONCE or i + 1 == len(column):
                     out.append(scorer.scores(texts))
-                    texts = []
+                    texts, held_bytes = [], 0
             found = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "score"])
 
