@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symweave.llm.common import pieces, release, small_enough, stored
+from symweave.llm.common import pieces, release, small_enough, stored, unused
 
 KINDS = ("assign", "access", "hex", "linked")
 BASE = {
@@ -47,8 +47,13 @@ def looks_random(value: str) -> bool:
 
 def weak_parts(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """(start, end, part) of identifiers, endpoints and weak secrets outside the spans already taken."""
-    secrets = [m.span() for m in SECRET.finditer(text) if looks_random(m.group())]
-    secrets = [(a, b) for a, b in secrets if not any(a < y and x < b for x, y, _ in taken)]
+    secrets, at, reached = [], 0, 0
+    for m in SECRET.finditer(text):  # both lists ascend: reached is how far the spans that begin before m's end go
+        while at < len(taken) and taken[at][0] < m.end():
+            reached = max(reached, taken[at][1])
+            at += 1
+        if reached <= m.start() and looks_random(m.group()):
+            secrets.append(m.span())
     if not secrets:
         return []
     out = [(a, b, "secret") for a, b in secrets]
@@ -93,9 +98,11 @@ def linked_secrets(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
 def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Per row of docs: doc_id, text_hash, spans (array of start, stop, kind by start, then kind as listed).
 
-    Base spans are always there; spans of kind linked are weak secrets with an identifier or endpoint in scope that doesn't overlap them. Null
-    texts are empty. Rows are told apart by doc_id and text, so repeated rows have equal results and nothing is shared
-    between different texts of one id. Whole texts are read, however long.
+    Base spans are always there; spans of kind linked are weak secrets with an identifier or endpoint in scope that
+    doesn't overlap them. Null and empty texts have no spans. Rows are told apart by doc_id and text, so repeated rows
+    have equal results and nothing is shared between different texts of one id. Whole texts are read, however long.
+    Spans that begin together are ordered by kind. An empty table gives no rows; other columns of docs, whatever their
+    names, have no part.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"))
     span = "array<struct<start:bigint,stop:bigint,kind:string>>"
@@ -109,10 +116,10 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     return out.select("doc_id", "text_hash", spans.alias("spans"))
 
 
-def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _mask(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in pieces(whole)):
         texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column(column).to_pylist(), strict=True):
             if spans:
                 out, at = [], 0
                 for s in sorted(spans, key=lambda s: (s["start"], -s["stop"])):
@@ -121,16 +128,19 @@ def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         at = s["stop"]
                 text = "".join([*out, text[at:]])
             texts.append(text)
-        names = [n for n in batch.schema.names if n != "_spans"]
+        names = [n for n in batch.schema.names if n != column]
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
 
 
 def redact_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """docs with "[secret]" in place of each span (overlapping ones together); n_chars, if there, is counted anew."""
+    """docs with "[secret]" in place of each span (overlapping ones together); n_chars, if there, is counted anew.
+
+    Every row and column stays: null and empty texts as they are, repeated rows each, columns of any name.
+    """
+    d, h, spans = (unused(name, docs) for name in ("_d", "_h", "_spans"))
     found = scan_secrets(docs, scope).where("size(spans) > 0")
-    found = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("spans").alias("_spans")).dropDuplicates(["_d", "_h"])
+    found = found.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("spans").alias(spans)).dropDuplicates([d, h])
     found = small_enough(stored(found), 200_000)
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left")
-    kept = joined.select(*(docs[c] for c in docs.columns), "_spans")
-    out = kept.mapInArrow(_mask, docs.schema)
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(h)), "left")
+    out = joined.select(*(docs[c] for c in docs.columns), spans).mapInArrow(lambda batches: _mask(batches, spans), docs.schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
