@@ -33,6 +33,13 @@ def linear_messages(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", "node", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def distinct_messages(messages: DataFrame) -> DataFrame:
+    """One message of each (conv_id, node): the first by parent, role, text and score, nulls first."""
+    first = F.min(F.struct(*(x for c in ("parent", "role", "text", "score") for x in (F.col(c).isNotNull().alias(f"has_{c}"), F.col(c).alias(c)))))
+    rows = messages.groupBy("conv_id", "node").agg(first.alias("m"))
+    return rows.select("conv_id", "node", "m.parent", "m.role", "m.text", "m.score")
+
+
 def chosen_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     """Root-to-leaf paths of the best branches: conv_id, leaf, branch, score, node, up (steps above the leaf).
 
@@ -81,13 +88,18 @@ def chosen_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     return paths
 
 
-def format_reply_trees(messages: DataFrame, branches: int | None = 1, trained_role: str = "assistant") -> DataFrame:
+def format_reply_trees(messages: DataFrame, branches: int | None = 1, trained_role: str = "assistant", unique: bool = False) -> DataFrame:
     """Each chosen path as one conversation: conv_id, leaf, branch, score, n_turns, formatted, loss_spans.
 
-    messages: conv_id, node, parent, role, text, score; other columns are ignored. Null roles and texts are empty.
-    loss_spans: code point spans of formatted that hold a trained_role text, in order. An empty table gives no rows. One
-    conversation is one output row, so its size bounds a row; paths and scores are spread by message.
+    messages: conv_id, node, parent, role, text, score; other columns, whatever their names, are ignored. Null roles and
+    texts are empty, null scores 0; conv_id may be null, messages with a null node are in no path. Messages that repeat a
+    (conv_id, node) count once, as in distinct_messages(); unique says that there are none, which saves that step.
+    Branches with equal scores go by their leaf. loss_spans: code point spans of formatted that hold a trained_role text,
+    in order. An empty table gives no rows. One conversation is one output row, so its texts, however long, must fit a
+    row; paths and scores are spread by message.
     """
+    messages = messages.where("node is not null")
+    messages = messages if unique else distinct_messages(messages)
     paths = chosen_paths(messages, branches)
     texts = messages.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = paths.join(texts, F.expr("conv_id <=> c and node = n"))
