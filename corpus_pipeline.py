@@ -1,4 +1,10 @@
-"""A corpus pipeline: quality, near-deduplication, decontamination, secret redaction, tokenising."""
+"""A corpus pipeline: quality, near-deduplication, decontamination, secret redaction, tokenising.
+
+Stages take documents and return documents, the last one tokens. Null and empty texts are documents: scored as empty,
+duplicates of nothing, clean, and without tokens. Rows that are repeated stay once from the second stage on. Texts are
+read whole, however long; null doc_ids stay. Columns of other names come through to the last stage, whatever they are
+called; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +16,6 @@ from symweave.llm import bpe_codec, decontamination, near_dedup, quality, secret
 from symweave.llm.common import stored
 from symweave.llm.queries import GOOD
 
-
 #: Words that a tokenising worker remembers and text bytes that it takes at once: fewer than by default, as executors also hold what earlier stages needed.
 REMEMBERED, PART_BYTES = 60_000, 1_500_000
 
@@ -22,8 +27,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_dedup.drop_near_duplicates(docs, 85)
+    """One document of each group of near duplicates: five words a shingle and a similarity of 0.8 or more."""
+    return near_dedup.drop_near_duplicates(docs, 80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +50,8 @@ def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", good_quality), ("near_dedup", one_of_each), ("decontamination", without_benchmark), ("secrets", without_secrets), ("bpe", tokenised)]
 
-#: The classifier's training and the recursive tokeniser are beyond SQL; tests compare the operators of
-#: the stages with brute force one by one; of whole runs they check row counts, round trips and that no equal texts are kept.
+#: The classifier's training and the recursive tokeniser are beyond SQL; tests/llm compares the rows of every stage with
+#: brute force over small fixtures, and the tokeniser with its library.
 ORACLE_SQL = None
 
 
