@@ -8,14 +8,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symweave.llm.common import small_enough, stored
 from symweave.llm.url_filter import url_host
 
-#: Labelled texts of each language that a model is fitted on at most, and bytes that each may have.
-SAMPLE, SAMPLE_BYTES = 400, 100_000
+#: Labelled texts of each language that a model is fitted on, in the mean; languages with fewer give all.
+SAMPLE = 400
 #: Size of the table that byte trigrams are hashed into.
 TABLE = 1 << 16
 #: A text counts as so many independent trigrams at most: neighbouring ones say much the same.
@@ -43,25 +43,48 @@ def trigrams(text: str) -> np.ndarray:
     return ((b[:-2] * np.uint32(2654435761) ^ b[1:-1] * np.uint32(40503) * np.uint32(257) ^ b[2:] * np.uint32(2246822519)) >> np.uint32(7)) % np.uint32(TABLE)
 
 
+def training_texts(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(lang, text): about sample different texts of each language, or all if there are fewer, chosen by hash.
+
+    A text is taken if the hash of its id and content is below sample shares of its language's rows: no order, and so no
+    language's rows in one place. Repeated rows count once.
+    """
+    rows = docs.where("lang is not null and text is not null and doc_id is not null").select("lang", "text", "doc_id")
+    counts = small_enough(stored(rows.groupBy("lang").agg(F.count("*").alias("_n"))), 100_000)
+    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    chosen = rows.join(counts, "lang").where(chance * F.col("_n") < sample)
+    return chosen.dropDuplicates(["lang", "doc_id", "text"]).select("lang", "text")
+
+
+def _trigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sums: dict[str, np.ndarray] = {}
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            sums.setdefault(lang, np.zeros(TABLE, np.int64))
+            sums[lang] += np.bincount(trigrams(text), minlength=TABLE)
+        for lang, counts in sums.items():
+            used = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(used) + 1), pa.string()), pa.array([-1, *used.tolist()], pa.int32()), pa.array([0, *counts[used].tolist()], pa.int64())], ["lang", "bucket", "n"])
+
+
 def train_language(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """A text model from docs (doc_id, text, lang): at most sample rows of each language, chosen by the hash of the id."""
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    in_part, first = Window.partitionBy("lang", "part").orderBy(*order), Window.partitionBy("lang").orderBy(*order)
-    ids = docs.where("lang is not null and text is not null and doc_id is not null").where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "lang")
-    ids = ids.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(256)))  # a common language is cut down in parts first
-    ids = ids.withColumn("at", F.row_number().over(in_part)).where(F.col("at") <= sample)
-    ids = ids.withColumn("at", F.row_number().over(first)).where(F.col("at") <= sample).select("doc_id", "lang").distinct()
-    rows = docs.select("doc_id", "lang", "text").join(small_enough(stored(ids), 100_000), ["doc_id", "lang"], "left_semi").toPandas()
+    """A text model from docs (doc_id, text, lang): trigram counts of whole texts, of about sample texts of each language.
+
+    Rows with nulls are left out, empty texts count nothing; without rows the model knows no language. Texts are read
+    where they are: only the counts, at most TABLE of a language, come to the driver. Other columns have no part.
+    """
+    counted = training_texts(docs, sample).mapInArrow(_trigram_counts, "lang string, bucket int, n bigint")
+    rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(rows["lang"]))
     counts = np.full((len(languages), TABLE), 0.02)
-    for i, name in enumerate(languages):
-        for text in rows["text"][rows["lang"] == name]:
-            counts[i] += np.bincount(trigrams(text), minlength=TABLE)
+    seen = rows[rows["bucket"] >= 0]
+    counts[seen["lang"].map({name: i for i, name in enumerate(languages)}).to_numpy(np.int64), seen["bucket"].to_numpy(np.int64)] += seen["n"].to_numpy(np.float64)
     return TextModel(languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
 def text_evidence(pages: DataFrame, model: TextModel, html: str | None = "html", text: str | None = None) -> DataFrame:
-    """pages with declared (language code in the markup or "") and evidence (log likelihood by language)."""
+    """pages without the body column (html, or text), with declared (language code in the markup or "") and evidence (log
+    likelihood by language). Columns of pages that are called declared or evidence are replaced; all others stay."""
     pages = pages.drop("declared", "evidence")
     shared = pages.sparkSession.sparkContext.broadcast(model)
     column = html or text
@@ -109,7 +132,9 @@ def identify_languages(pages: DataFrame, model: TextModel) -> DataFrame:
     the address suffix (last label of the host) given the language, and the host's prior. Grouped aggregates of the
     text posteriors estimate these; the prior of a host is smoothed towards that of its domain (last two labels), that
     towards all pages', each page's own share taken out. Ties go to the first language by name. Null or empty html and
-    null urls are no evidence. Without a trained language, lang is null. An empty table gives no rows.
+    null urls are no evidence; html is read whole, however long. Without a trained language, lang is null. Repeated rows
+    are pages of their own, and count in the priors as such. An empty table gives no rows; other columns of pages,
+    whatever their names, have no part.
     """
     names, size = model.languages, len(model.languages)
     if not size:
@@ -122,7 +147,7 @@ def identify_languages(pages: DataFrame, model: TextModel) -> DataFrame:
     share = [(whole[i] + 1) / (count + size) for i in range(size)]
     out = rows
     for key in ("host", "domain", "suffix", "declared"):
-        out = out.join(small_enough(_sums(rows, key, size), 200_000), F.col(key) == F.col(f"_{key}"), "left").drop(f"_{key}")
+        out = out.join(small_enough(stored(_sums(rows, key, size)), 200_000), F.col(key) == F.col(f"_{key}"), "left").drop(f"_{key}")
 
     def log_prior(i: int) -> Column:
         own = F.col("posterior")[i]
