@@ -369,9 +369,9 @@ def host_paths(pages: DataFrame) -> DataFrame:
     """
     votes = pages.select(url_host(F.col("url")).alias("host"), "html").mapInArrow(_votes, "host string, path string, beside boolean, score double")
     summed = votes.groupBy("host", "path", "beside").agg(F.round(F.sum("score"), 6).alias("score"))
-    chosen = summed.where("not beside").groupBy("host").agg(F.min(F.struct((-F.col("score")).alias("score"), "path")).alias("best"))
-    dropped = summed.where("beside").groupBy(F.col("host").alias("_host")).agg(F.collect_list(F.struct("path", "score")).alias("beside"))
-    return chosen.join(dropped, F.col("host") == F.col("_host"), "full").select(F.coalesce("host", "_host").alias("host"), F.col("best.path").alias("path"), "beside")
+    best = F.min(F.when(~F.col("beside"), F.struct((-F.col("score")).alias("score"), "path")))
+    marked = F.collect_list(F.when(F.col("beside"), F.struct("path", "score")))
+    return summed.groupBy("host").agg(best.alias("best"), marked.alias("beside")).select("host", F.col("best.path").alias("path"), "beside")
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
