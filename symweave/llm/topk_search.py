@@ -16,6 +16,9 @@ from symweave.llm.common import stored
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
 #: Queries that are scored together.
 TOGETHER = 256
+#: Share of the vectors' length that is still to come up to which a proof is tried, and members of the result, as a
+#: multiple of k, up to which scoring them again is cheaper than further segments. Both change time only.
+TRY_BELOW, FEW = 0.3, 16
 
 
 def _quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +77,7 @@ class ImpactIndex:
         if most >= 2.0**63:
             raise OverflowError("a score does not fit 64 bits")
         kind = np.float32 if most < 2**23 else np.float64  # float32 is exact below 2^24, float64 below 2^53
-        some = min(k, max(n - 1, 0))
+        some, whole = min(k, max(n - 1, 0)), np.sqrt((self.vectors.astype(np.float64) ** 2).sum(axis=1)).sum()
         members: list[np.ndarray | None] = [None] * len(queries)
         open_ = np.arange(len(queries))
         score = np.zeros((n, len(queries)), kind)  # a posting's scores of all open queries lie side by side
@@ -85,14 +88,16 @@ class ImpactIndex:
                 break
             for dim, place, value in level:
                 score[place] += value.astype(kind)[:, None] * asked[dim]
-            gap = rest[:, None] * length[open_]
+            if rest.sum() > TRY_BELOW * whole:
+                continue
+            gap = np.multiply.outer((rest * (1 + 1e-6)).astype(kind), length[open_].astype(kind)) + kind(1)  # no less, rounded
             low = score - gap
             inside = np.flatnonzero(own[open_] >= 0)
             low[own[open_[inside]], inside] = -np.inf
             least = np.partition(low, n - some, axis=0)[n - some]
             may = score + gap >= least
             may[own[open_[inside]], inside] = False
-            done = may.sum(axis=0) <= 4 * k  # proof: nothing outside can reach the k-th lower bound
+            done = np.count_nonzero(may, axis=0) <= FEW * k  # proof: nothing outside can reach the k-th lower bound
             for i in np.flatnonzero(done):
                 members[open_[i]] = np.flatnonzero(may[:, i])
             if done.any():
