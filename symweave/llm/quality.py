@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symweave.llm.common import held
+from symweave.llm.common import held, stored
 
 #: Filters, bytes that a filter sees, bytes of a block; blocks of a chunk and from one chunk to the next; hidden units.
 FILTERS, SPAN, BLOCK, CHUNK, STEP, HIDDEN = 16, 6, 32, 8, 4, 12
@@ -168,7 +168,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, samp
     ids = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    texts = texts.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("text").alias("text"))
+    texts = stored(texts.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("text").alias("text")))
     so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sizes = texts.select("doc_id", F.octet_length("text").cast("long").alias("size"))  # at most sample rows
     fits = sizes.withColumn("total", F.sum("size").over(so_far)).where(F.col("total") <= sample_bytes).select("doc_id")
@@ -186,13 +186,13 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, samp
     return fit([t.encode("utf-8", "surrogatepass") for t in rows["text"]], rows["quality"].to_numpy(np.int64))
 
 
-def score_quality(docs: DataFrame, net: Network) -> DataFrame:
-    """docs with score (0 to 1, higher: good quality likelier), from the whole text alone, however long; null is empty.
+def score_quality(docs: DataFrame, net: Network, out_col: str = "score") -> DataFrame:
+    """docs with out_col (0 to 1, higher: good quality likelier), from the whole text alone, however long; null is empty.
 
     Equal texts have equal scores, whatever rows are beside them, so repeated rows do and ties stay ties. An empty table
-    gives no rows. A column of docs that is called score is replaced; all others stay.
+    gives no rows. A column of docs that is called out_col is replaced; all others stay.
     """
-    docs = docs.drop("score")
+    docs = docs.drop(out_col)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     key = ("quality", net.tables.tobytes())
 
@@ -209,7 +209,7 @@ def score_quality(docs: DataFrame, net: Network) -> DataFrame:
                     out.append(scorer.scores(texts))
                     texts, held_bytes = [], 0
             found = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, out_col])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return docs.mapInArrow(run, f"{fields}, `{out_col}` double")
