@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symweave.llm import bpe_codec, decontamination, near_dedup, quality, secrets
-from symweave.llm.common import stored
+from symweave.llm.common import stored, unused
 from symweave.llm.queries import GOOD
 
 #: Words that a tokenising worker remembers and text bytes that it takes at once: fewer than by default, as executors also hold what earlier stages needed.
@@ -23,7 +23,8 @@ REMEMBERED, PART_BYTES = 60_000, 1_500_000
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labelled rows among docs, scores as good."""
     net = quality.train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
-    return quality.score_quality(docs, net).where(F.col("score") >= GOOD).select(*docs.columns)
+    score = unused("score", docs)
+    return quality.score_quality(docs, net, score).where(F.col(score) >= GOOD).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
