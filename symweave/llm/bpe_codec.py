@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from symweave.llm.common import held
+from symweave.llm.common import held, text_batches
 
 #: Distinct words whose ids a worker remembers, twice at most (this and the last generation): memory against time only.
 REMEMBERED = 500_000
@@ -248,6 +248,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text",
     the order of rows have no part in it, so there are no ties. An empty table gives no rows. Columns of docs that are
     called ids or decoded are replaced; all others stay.
     """
+    text_batches(docs.sparkSession)
     docs = docs.drop("ids", "decoded")
     pairs = read_ranks(docs.sparkSession, ranks)
     shared = docs.sparkSession.sparkContext.broadcast(pairs)

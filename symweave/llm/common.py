@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a few machine words each that a broadcast may have; beyond it, joins shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows of an Arrow batch of whole texts.
+TEXT_ROWS = 2000
 
 _own_folder: list[str] = []
 _known_folders: set[str] = set()
@@ -43,6 +45,14 @@ def pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Has Spark hand whole texts to Python workers in Arrow batches of at most TEXT_ROWS rows from now on: its default of
+    10,000 rows of long texts would take much of a worker's and an executor's memory. Any other setting is left alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset, a temporary one on a local master, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

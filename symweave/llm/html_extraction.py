@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symweave.llm.common import small_enough, stored
+from symweave.llm.common import small_enough, stored, text_batches
 from symweave.llm.url_filter import url_host
 
 #: Element names with a special part in HTML.
@@ -387,6 +387,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     host "". Ties go to the first path by name. Very long or broken pages are read in a time that grows with their length.
     Repeated rows each give a row; an empty table gives none; other columns of pages, whatever their names, have no part.
     """
+    text_batches(pages.sparkSession)
     winners = small_enough(stored(host_paths(pages)), 200_000)
     found = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host")).join(winners, "host", "left")
     return found.select("page_id", "url", "html", "path", "beside").mapInArrow(_extract, "page_id bigint, url string, text string")

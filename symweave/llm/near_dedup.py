@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symweave.llm.common import connected_components, forget, pieces, release, small_enough, stored, unused
+from symweave.llm.common import connected_components, forget, pieces, release, small_enough, stored, text_batches, unused
 
 #: Words of a shingle; bands and minima of a band; low bits kept of each minimum.
 WIDTH, BANDS, ROWS, BITS = 5, 32, 5, 2
@@ -192,6 +192,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     is. Ids that are null take no part in the smallest; where a component has no other, it is null. An empty table gives
     no rows; other columns of docs, whatever their names, have no part. Ties can't occur: ids and set keys are ordered.
     """
+    text_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     base = stored(docs.mapInArrow(_sign, "doc_id bigint, text_hash bigint, n_shingles bigint, set_key binary, sig array<bigint>, bands array<bigint>"))
     first = F.struct(F.col("doc_id").isNull(), "doc_id")
@@ -229,9 +230,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         forget(now, labels)
         labels = connected_components(links)
     forget(met, *done)
-    named = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = named.join(least, "component").select(F.col("node").alias("_key"), "component_id", "component")
+    linked = labels.join(classes.select("node", "doc_id"), "node")
+    least = small_enough(stored(linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))), 200_000)
+    grouped = labels.join(least, "component")
+    of_class = classes.select("node", "doc_id").join(grouped, "node", "left")
+    smallest = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    of_class = of_class.select(F.col("node").alias("_key"), smallest.alias("component_id"), F.coalesce("component", "node").alias("component"))
+    of_class = stored(of_class)  # by itself, so that the copies of one text can be split in the join
     out = base.select("doc_id", "text_hash", "n_shingles", "set_key").join(of_class, F.col("set_key") == F.col("_key"), "left")
     smallest = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "text_hash", "n_shingles", smallest.alias("component_id"), smallest.eqNullSafe(F.col("doc_id")).alias("kept"), "component")
@@ -245,17 +250,20 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     than a broadcast may have rows.
     """
     d, h, own = unused("_d", docs), unused("_h", docs), unused("_text_hash", docs)
-    found = near_duplicates(docs, percent).groupBy("doc_id", "text_hash", "component").agg(F.count("*").alias("n"))
+    found = stored(near_duplicates(docs, percent).groupBy("doc_id", "text_hash", "component").agg(F.count("*").alias("n")))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("best")
-    chosen = found.where("component is not null").groupBy(F.col("component").alias("_of")).agg(best)
-    stays = F.expr("component is null or (doc_id <=> best.doc_id and text_hash = best.text_hash)")
+    each = found.where("component is not null").groupBy(F.col("component").alias("_of")).agg(best, F.count("*").alias("members"))
+    each = stored(each.where("members > 1").select("_of", "best"))
+    chosen = small_enough(each, 200_000)  # stored apart from the join, so that rows of a large group can be split
+    stays = F.expr("best is null or (doc_id <=> best.doc_id and text_hash = best.text_hash)")
     states = stored(found.join(chosen, F.col("component") == F.col("_of"), "left").select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), "n", stays.alias("stays")))
+    forget(found, each)
     same = lambda other: F.col("doc_id").eqNullSafe(other[d]) & (F.col(own) == other[h])
     rows = docs.withColumn(own, F.xxhash64("text"))
-    apart = small_enough(states.where("not stays or n > 1"))
+    apart = small_enough(states.where("not stays or n > 1"), 200_000)
     out = rows.join(apart, same(apart), "left_anti")
     repeated = states.where("stays and n > 1")
     if repeated.limit(1).count():
-        repeated = small_enough(repeated)
+        repeated = small_enough(repeated, 200_000)
         out = out.unionByName(rows.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", own]))
     return out.select(*docs.columns)

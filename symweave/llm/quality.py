@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symweave.llm.common import held, stored
+from symweave.llm.common import held, release, stored, text_batches
 
 #: Filters, bytes that a filter sees, bytes of a block; blocks of a chunk and from one chunk to the next; hidden units.
 FILTERS, SPAN, BLOCK, CHUNK, STEP, HIDDEN = 16, 6, 32, 8, 4, 12
@@ -183,7 +183,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, samp
     one class alone, gives a network that answers with the share of label 1. Other columns have no part.
     """
     rows = training_rows(docs, labels, sample, sample_bytes).toPandas().sort_values("doc_id")
-    return fit([t.encode("utf-8", "surrogatepass") for t in rows["text"]], rows["quality"].to_numpy(np.int64))
+    net = fit([t.encode("utf-8", "surrogatepass") for t in rows["text"]], rows["quality"].to_numpy(np.int64))
+    del rows
+    release()
+    return net
 
 
 def score_quality(docs: DataFrame, net: Network, out_col: str = "score") -> DataFrame:
@@ -192,6 +195,7 @@ def score_quality(docs: DataFrame, net: Network, out_col: str = "score") -> Data
     Equal texts have equal scores, whatever rows are beside them, so repeated rows do and ties stay ties. An empty table
     gives no rows. A column of docs that is called out_col is replaced; all others stay.
     """
+    text_batches(docs.sparkSession)
     docs = docs.drop(out_col)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     key = ("quality", net.tables.tobytes())

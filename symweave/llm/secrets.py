@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symweave.llm.common import pieces, release, small_enough, stored, unused
+from symweave.llm.common import pieces, release, small_enough, stored, text_batches, unused
 
 KINDS = ("assign", "access", "hex", "linked")
 BASE = {
@@ -104,6 +104,7 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     Spans that begin together are ordered by kind. An empty table gives no rows; other columns of docs, whatever their
     names, have no part.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"))
     span = "array<struct<start:bigint,stop:bigint,kind:string>>"
     found = stored(rows.mapInArrow(_scan, f"doc_id bigint, text_hash bigint, base {span}, weak {span}"))
