@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import heapq
 import struct
+from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 
@@ -12,7 +14,7 @@ def huffman_lengths(freqs: list[int], limit: int = 15) -> list[int]:
     """Code length of each symbol, 0 for those that don't occur; a single symbol gets length 1.
 
     Merges go by weight, then by age. Lengths beyond the limit are cut to it, the shortest are made longer until the
-    code fits, and what room is left goes to the longest; the more frequent symbol then has the shorter code.
+    code fits, and what room is left goes to the longest; symbols keep their order by length, then frequency.
     """
     active = [(f, s) for s, f in enumerate(freqs) if f]
     lengths = [0] * len(freqs)
@@ -29,18 +31,16 @@ def huffman_lengths(freqs: list[int], limit: int = 15) -> list[int]:
         heapq.heappush(heap, (fa + fb, age, a + b))
         age += 1
     if max(lengths, default=0) > limit:
-        found = sorted(min(n, limit) for n in lengths if n)
-        room = 1 << limit
-        used = sum(1 << (limit - n) for n in found)
-        while used > room:
-            i = max(k for k, n in enumerate(found) if n < limit)
-            used -= 1 << (limit - found[i] - 1)
-            found[i] += 1
-        for i in reversed(range(len(found))):
-            while found[i] > 1 and used + (1 << (limit - found[i])) <= room:
-                used += 1 << (limit - found[i])
-                found[i] -= 1
-        for n, (_, s) in zip(sorted(found), sorted(active, key=lambda x: (-x[0], x[1])), strict=True):
+        order = sorted(active, key=lambda x: (lengths[x[1]], -x[0], x[1]))
+        at = Counter(min(n, limit) for n in lengths if n)
+        room = (1 << limit) - sum(k << (limit - n) for n, k in at.items())
+        while room < 0:
+            n = min(n for n, k in at.items() if k and n < limit)
+            at[n], at[n + 1], room = at[n] - 1, at[n + 1] + 1, room + (1 << (limit - n - 1))
+        for n in range(limit, 1, -1):
+            fit = min(at[n], room >> (limit - n))
+            at[n], at[n - 1], room = at[n] - fit, at[n - 1] + fit, room - (fit << (limit - n))
+        for n, (_, s) in zip(sorted(at.elements()), order, strict=True):
             lengths[s] = n
     return lengths
 
@@ -55,17 +55,22 @@ def canonical_codes(lengths: list[int]) -> list[int]:
     return codes
 
 
-def huffman_encode(block: bytes, lengths: list[int]) -> bytes:
+def huffman_encode(block: Sequence[int], lengths: list[int]) -> bytes:
     """The block's codes one after another, padded with zero bits; symbols without a code are left out."""
     codes = canonical_codes(lengths)
     bits = "".join(format(codes[b], f"0{lengths[b]}b") for b in block if lengths[b])
     return int(bits.ljust(-(-len(bits) // 8) * 8, "0") or "0", 2).to_bytes(-(-len(bits) // 8), "big") if bits else b""
 
 
-def huffman_decode(payload: bytes, lengths: list[int], count: int) -> bytes:
-    """count symbols; ValueError for bits that are no code."""
+def _symbols(out: list[int], alphabet: int) -> bytes | list[int]:
+    """Symbols of at most eight bits as bytes, wider ones as numbers."""
+    return bytes(out) if alphabet <= 256 else out
+
+
+def huffman_decode(payload: bytes, lengths: list[int], count: int) -> bytes | list[int]:
+    """count symbols (as numbers if there are more than 256); ValueError for bits that are no code."""
     table = {(n, c): s for s, (n, c) in enumerate(zip(lengths, canonical_codes(lengths), strict=True)) if n}
-    bits, at, out, longest = "".join(format(b, "08b") for b in payload), 0, bytearray(), max(lengths, default=0)
+    bits, at, out, longest = "".join(format(b, "08b") for b in payload), 0, [], max(lengths, default=0)
     while len(out) < count:
         for n in range(1, longest + 1):
             if at + n <= len(bits) and (s := table.get((n, int(bits[at : at + n], 2)))) is not None:
@@ -74,7 +79,7 @@ def huffman_decode(payload: bytes, lengths: list[int], count: int) -> bytes:
                 break
         else:
             raise ValueError("these bits are no code")
-    return bytes(out)
+    return _symbols(out, len(lengths))
 
 
 def quantise(freqs: list[int], scale_bits: int) -> list[int]:
@@ -96,7 +101,7 @@ def _starts(freqs: list[int]) -> list[int]:
     return np.concatenate([[0], np.cumsum(freqs)]).tolist()
 
 
-def rans_encode(block: bytes, freqs: list[int], scale_bits: int = 12) -> bytes:
+def rans_encode(block: Sequence[int], freqs: list[int], scale_bits: int = 12) -> bytes:
     """32-bit state, 16-bit words in the order of decoding; freqs sum to 2^scale_bits. Unseen symbols raise ValueError."""
     start, state, words = _starts(freqs), 1 << 16, []
     for b in reversed(block):
@@ -110,14 +115,14 @@ def rans_encode(block: bytes, freqs: list[int], scale_bits: int = 12) -> bytes:
     return struct.pack("<IH", state, scale_bits) + np.array(words[::-1], "<u2").tobytes()
 
 
-def rans_decode(payload: bytes, freqs: list[int], count: int) -> bytes:
+def rans_decode(payload: bytes, freqs: list[int], count: int) -> bytes | list[int]:
     """count symbols of what rans_encode() gave."""
     state, scale_bits = struct.unpack_from("<IH", payload)
     if sum(freqs) != 1 << scale_bits:
         raise ValueError("these frequencies do not fit the payload")
     words, at, start = np.frombuffer(payload, "<u2", offset=6).tolist(), 0, _starts(freqs)
     symbol = np.repeat(np.arange(len(freqs)), freqs).tolist()
-    out, mask = bytearray(), (1 << scale_bits) - 1
+    out, mask = [], (1 << scale_bits) - 1
     for _ in range(count):
         slot = state & mask
         s = symbol[slot]
@@ -128,7 +133,7 @@ def rans_decode(payload: bytes, freqs: list[int], count: int) -> bytes:
                 raise ValueError("the payload ends early")
             state = state << 16 | words[at]
             at += 1
-    return bytes(out)
+    return _symbols(out, len(freqs))
 
 
 def tans_table(freqs: list[int], scale_bits: int) -> list[tuple[int, int, int]]:
@@ -153,7 +158,7 @@ def tans_table(freqs: list[int], scale_bits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def tans_encode(block: bytes, freqs: list[int], scale_bits: int = 10) -> tuple[int, str]:
+def tans_encode(block: Sequence[int], freqs: list[int], scale_bits: int = 10) -> tuple[int, str]:
     """Final state and the bits in the order of decoding."""
     back: dict[int, list[tuple[int, int, int]]] = {}
     for state, (s, bits, base) in enumerate(tans_table(freqs, scale_bits)):
@@ -168,9 +173,9 @@ def tans_encode(block: bytes, freqs: list[int], scale_bits: int = 10) -> tuple[i
     return state, "".join(reversed(out))
 
 
-def tans_decode(state: int, bits: str, freqs: list[int], scale_bits: int, count: int) -> bytes:
+def tans_decode(state: int, bits: str, freqs: list[int], scale_bits: int, count: int) -> bytes | list[int]:
     """count symbols of what tans_encode() gave."""
-    table, at, out = tans_table(freqs, scale_bits), 0, bytearray()
+    table, at, out = tans_table(freqs, scale_bits), 0, []
     for _ in range(count):
         s, n, base = table[state]
         out.append(s)
@@ -178,4 +183,4 @@ def tans_decode(state: int, bits: str, freqs: list[int], scale_bits: int, count:
             raise ValueError("the payload ends early")
         state = base + (int(bits[at : at + n], 2) if n else 0)
         at += n
-    return bytes(out)
+    return _symbols(out, len(freqs))

@@ -66,6 +66,11 @@ def absolute(x: Column) -> Column:
     return F.when(x < 0, wrapped(-x)).otherwise(x)
 
 
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: raw values are ordered like what they stand for."""
+    return F.when(a < b, -1).when(a > b, 1).when(a == b, 0)
+
+
 def _decimal(name: str) -> str:
     return f"cast({name} as decimal(20, 0))"
 

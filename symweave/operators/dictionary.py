@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symweave.operators.sequence import row_index
+from symweave.sources.scratch import removed, written
 
 
 def contains(words: DataFrame, probes: DataFrame) -> DataFrame:
@@ -17,9 +20,10 @@ def contains(words: DataFrame, probes: DataFrame) -> DataFrame:
 def has_prefix(words: DataFrame, probes: DataFrame) -> DataFrame:
     """(probe, found): whether a member starts with the probe. Members' prefixes are cut to the probes' lengths and
     joined by equality; the empty prefix is always there."""
-    asked = probes.select("probe", F.length("probe").alias("_n")).distinct()
-    lengths = asked.select("_n").distinct()
-    cut = words.select("s").distinct().join(F.broadcast(lengths), F.length("s") >= F.col("_n")).select(F.expr("substring(s, 1, _n)").alias("_p")).distinct()
+    asked = probes.select("probe").distinct()
+    lengths = [r[0] for r in asked.select(F.length("probe").alias("n")).where("n > 0").distinct().collect()]  # a few numbers
+    wanted = F.filter(F.array(*(F.lit(n) for n in sorted(lengths))).cast("array<int>"), lambda n: n <= F.length("s"))
+    cut = words.select("s").distinct().select(F.explode(F.transform(wanted, lambda n: F.substring("s", F.lit(1), n))).alias("_p")).distinct()
     return asked.join(cut, F.col("probe") == F.col("_p"), "left").select("probe", (F.col("_p").isNotNull() | (F.col("probe") == "")).alias("found"))
 
 
@@ -32,13 +36,7 @@ def find(index: DataFrame, probes: DataFrame) -> DataFrame:
 def string_index(df: DataFrame, column: str) -> DataFrame:
     """(idx, s): distinct strings in byte order."""
     rows = df.select(F.col(column).alias("s")).where("s is not null").distinct()
-    return _indexed(rows)
-
-
-def _indexed(rows: DataFrame) -> DataFrame:
-    """Ranges go by the first bytes as a number; strings with the same ones share a range."""
-    lead = F.conv(F.rpad(F.substring(F.hex(F.encode("s", "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("long")
-    return row_index(rows.withColumn("_lead", lead), ["_lead", "s"], "idx").select("idx", "s")
+    return row_index(rows, ["s"], "idx").select("idx", "s")
 
 
 def front_coded(index: DataFrame, bucket: int = 16) -> DataFrame:
@@ -54,6 +52,19 @@ def front_coded(index: DataFrame, bucket: int = 16) -> DataFrame:
     return rows.select("idx", "s", "bucket", "shared", F.expr("substring(s, cast(shared as int) + 1)").alias("suffix"))
 
 
+def front_coded_bytes(index: DataFrame, bucket: int = 16) -> DataFrame:
+    """(idx, s, bucket, shared, suffix) as front_coded(), in bytes of UTF-8: shared counts bytes, suffix is their hex."""
+    if bucket <= 0:
+        raise ValueError("bucket size must be positive")
+    rows = index.withColumn("bucket", F.expr(f"idx div {bucket}")).withColumn("_h", F.hex(F.encode("s", "UTF-8")))
+    rows = rows.withColumn("_b", F.coalesce(F.lag("_h").over(Window.partitionBy("bucket").orderBy("idx")), F.lit("")))
+    lengths = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("_h"), F.length("_b")) / 2).cast("int"))
+    differs = F.filter(lengths, lambda i: F.substring("_h", i * 2 - 1, F.lit(2)) != F.substring("_b", i * 2 - 1, F.lit(2)))
+    shortest = (F.least(F.length("_h"), F.length("_b")) / 2).cast("long")
+    shared = F.when(shortest == 0, 0).when(F.size(differs) > 0, F.get(differs, F.lit(0)) - 1).otherwise(shortest).cast("long")
+    return rows.withColumn("shared", shared).select("idx", "s", "bucket", "shared", F.expr("substring(_h, cast(2 * shared as int) + 1)").alias("suffix"))
+
+
 def front_restored(coded: DataFrame) -> DataFrame:
     """(idx, s): strings rebuilt from their bucket's prefixes and suffixes alone."""
     each = coded.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("idx", "shared", "suffix"))).alias("rows"))
@@ -77,8 +88,9 @@ def minimal_counts(words: DataFrame) -> DataFrame:
     hexed = words.select(F.hex(F.encode("s", "UTF-8")).alias("h")).distinct()
     deepest = hexed.agg(F.max(F.length("h"))).first()[0] or 0
     prefixes = hexed.select(F.explode(F.expr("transform(sequence(0, length(h) div 2), i -> substring(h, 1, 2 * i))")).alias("p")).distinct()
-    states = prefixes.join(hexed.select(F.col("h").alias("p"), F.lit(True).alias("final")), "p", "left").select("p", F.coalesce("final", F.lit(False)).alias("final")).persist()
-    below, seen = None, None
+    states = prefixes.join(hexed.select(F.col("h").alias("p"), F.lit(True).alias("final")), "p", "left").select("p", F.coalesce("final", F.lit(False)).alias("final"))
+    states = written(states)
+    below, seen = None, []
     for depth in range(deepest, -1, -2):
         now = states.where(F.length("p") == depth)
         if below is None:
@@ -87,6 +99,11 @@ def minimal_counts(words: DataFrame) -> DataFrame:
             kids = below.select(F.expr(f"substring(p, 1, {depth})").alias("p"), F.concat(F.expr(f"substring(p, {depth + 1}, 2)"), "id").alias("kid"))
             kids = kids.groupBy("p").agg(F.concat_ws(",", F.array_sort(F.collect_list("kid"))).alias("kids"), F.count("*").alias("edges"))
             named = now.join(kids, "p", "left").select("p", F.sha2(F.concat(F.col("final").cast("string"), F.lit("|"), F.coalesce("kids", F.lit(""))), 256).alias("id"), F.coalesce("edges", F.lit(0)).cast("long").alias("edges"))
-        named = named.persist()
-        below, seen = named, named.select("id", "edges") if seen is None else seen.unionByName(named.select("id", "edges"))
-    return seen.distinct().agg(F.count("*").alias("states"), F.sum("edges").alias("edges"))
+        below = written(named)
+        seen.append(below)
+    whole = written(reduce(DataFrame.unionByName, (x.select("id", "edges").distinct() for x in seen)).distinct()) if seen else None
+    for table in [states, *seen]:
+        removed(table)
+    if whole is None:
+        return words.sparkSession.createDataFrame([(0, 0)], "states bigint, edges bigint")
+    return whole.agg(F.count("*").alias("states"), F.sum("edges").alias("edges"))

@@ -23,8 +23,9 @@ def as_of(values: DataFrame, probes: DataFrame) -> DataFrame:
     n = values.count()
     probes = probes.select("probe").distinct()
     kinds = F.explode(F.array(F.lit(0), F.lit(2))).alias("kind")
-    both = values.select("v", F.lit(1).alias("kind")).unionByName(probes.select(F.col("probe").alias("v"), kinds))
-    counted = running_sum(both, ["v", "kind"], F.when(F.col("kind") == 1, 1).otherwise(0).cast("long"), "before").where("kind <> 1")
+    each = values.groupBy("v").agg(F.count("*").alias("n"))  # a value with very many ties is one row
+    both = each.select("v", F.lit(1).alias("kind"), "n").unionByName(probes.select(F.col("probe").alias("v"), kinds, F.lit(0).cast("long").alias("n")))
+    counted = running_sum(both, ["v", "kind"], F.col("n"), "before").where("kind <> 1")
     sides = counted.groupBy(F.col("v").alias("probe")).agg(F.max(F.when(F.col("kind") == 0, F.col("before"))).alias("successor"), F.max(F.when(F.col("kind") == 2, F.col("before"))).alias("upto"))
     return sides.select("probe", "successor", F.when(F.col("upto") == 0, n).otherwise(F.col("upto") - 1).alias("predecessor"))
 
@@ -67,3 +68,15 @@ def leb128_hex(value: Column) -> Column:
     group = lambda i: F.floor(value / F.pow(F.lit(128), i)).cast("long").bitwiseAND(127)
     byte = lambda i: F.lpad(F.hex(group(i) + F.when(i < n - 1, 128).otherwise(0)), 2, "0")
     return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), byte), "")
+
+
+def leb128_value(encoded: Column) -> Column:
+    """The number below 2^63 that hex bytes encode, or null where they aren't one whole number of at most nine bytes."""
+    count = F.floor(F.length(encoded) / 2)
+    byte = lambda i: F.conv(F.substring(encoded, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
+    place = F.sequence(F.lit(0).cast("long"), F.greatest(count - 1, F.lit(0)).cast("long"))
+    digits = F.transform(place, lambda i: byte(i.cast("int")))
+    ends = F.transform(place, lambda i: (byte(i.cast("int")) < 128) == (i == count - 1))
+    total = F.aggregate(F.reverse(digits), F.lit(0).cast("long"), lambda a, d: F.shiftleft(a, 7) + d.bitwiseAND(127))
+    sound = (F.length(encoded) > 0) & (F.length(encoded) % 2 == 0) & (count <= 9) & F.forall(ends, lambda e: e) & F.when(count > 1, F.element_at(digits, -1) > 0).otherwise(True)
+    return F.when(sound, total)

@@ -2,34 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def pair_counts(tokens: DataFrame) -> DataFrame:
-    """(l, r, n): adjacent pairs within each row's array of tokens, overlapping ones counted."""
-    pairs = F.expr("if(size(tokens) < 2, array(), transform(sequence(0, size(tokens) - 2), i -> struct(tokens[i] as l, tokens[i + 1] as r)))")
-    return tokens.select(F.explode(pairs).alias("p")).groupBy("p.l", "p.r").agg(F.count("*").alias("n"))
+def _merged(tokens: np.ndarray, row: np.ndarray, left: int, right: int, token: int) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' tokens one after another, with every (left, right) of one row, from the left and without overlap, as token."""
+    hit = np.flatnonzero((tokens[:-1] == left) & (tokens[1:] == right) & (row[:-1] == row[1:]))
+    if left == right and len(hit):  # of a run of overlapping ones, every other
+        run = np.concatenate([[0], np.cumsum(np.diff(hit) != 1)])
+        hit = hit[(np.arange(len(hit)) - np.searchsorted(run, run)) % 2 == 0]
+    if not len(hit):
+        return tokens, row
+    tokens, keep = tokens.copy(), np.ones(len(tokens), bool)
+    tokens[hit], keep[hit + 1] = token, False
+    return tokens[keep], row[keep]
+
+
+def pair_counts(docs: DataFrame, text: str, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """(l, r, n): adjacent pairs within each text's tokens by merges, overlapping ones counted; summed in each batch first."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = [(t or "").encode() for t in batch.column(0).to_pylist()]
+            tokens = np.frombuffer(b"".join(bodies), np.uint8).astype(np.int64)
+            row = np.repeat(np.arange(len(bodies)), [len(b) for b in bodies])
+            for merge in merges:
+                tokens, row = _merged(tokens, row, *merge)
+            same = row[:-1] == row[1:]
+            pairs, n = np.unique((tokens[:-1] << 32 | tokens[1:])[same], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs >> 32), pa.array(pairs & 0xFFFFFFFF), pa.array(n, pa.int64())], ["l", "r", "n"])
 
-def merged(tokens: DataFrame, left: int, right: int, token: int) -> DataFrame:
-    """tokens with every (left, right), from the left and without overlap, replaced by token."""
-    text = F.concat(F.lit(" "), F.array_join(F.transform("tokens", lambda t: F.concat(t.cast("string"), F.lit(" "))), " "))
-    replaced = F.regexp_replace(text, f" {left}  {right} ", f" {token} ")
-    return tokens.withColumn("tokens", F.transform(F.filter(F.split(replaced, " +"), lambda t: t != ""), lambda t: t.cast("int")))
+    return docs.select(text).mapInArrow(count, "l bigint, r bigint, n bigint").groupBy("l", "r").agg(F.sum("n").alias("n"))
 
 
 def learn_merges(docs: DataFrame, text: str, merges: int, least: int = 2) -> list[tuple[int, int, int]]:
     """(left, right, token) in order: each round merges the most frequent pair, of several the smallest; tokens from
-    256. A round is one aggregate over the corpus, of which one row comes to the driver."""
-    tokens = docs.select(F.transform(F.regexp_extract_all(F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-8")), F.lit("(..)")), lambda h: F.conv(h, 16, 10).cast("int")).alias("tokens")).persist()
+    256. A round is one aggregate over the texts, with the merges so far applied anew, so that nothing is kept between
+    rounds; one row comes to the driver."""
     found: list[tuple[int, int, int]] = []
     for i in range(merges):
-        best = pair_counts(tokens).orderBy(F.desc("n"), "l", "r").first()
+        best = pair_counts(docs, text, list(found)).orderBy(F.desc("n"), "l", "r").first()
         if best is None or best["n"] < max(1, least):
             break
         found.append((best["l"], best["r"], 256 + i))
-        tokens = merged(tokens, *found[-1]).persist()
     return found
 
 

@@ -13,30 +13,49 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
+#: Strings that are looked at, in the mean, to cut an order of strings into ranges.
+SAMPLED_STRINGS = 4096
+
+
+def _cuts(df: DataFrame, by: str, ranges: int) -> list:
+    """Values that cut the order of a column into ranges of like shares: approximate quantiles, of strings those of a
+    sample by hash. They decide where rows go, never what comes out."""
+    if df.schema[by].dataType.simpleString() != "string":
+        return sorted(set(df.select(F.percentile_approx(F.col(by), [i / ranges for i in range(1, ranges)], 1000).alias("q")).first()["q"] or []))
+    n = df.count()
+    part = F.pmod(F.xxhash64(by), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, SAMPLED_STRINGS / max(n, 1))))
+    seen = sorted((r[0] for r in df.select(by).where(F.col(by).isNotNull() & part).distinct().limit(4 * SAMPLED_STRINGS).collect()), key=str.encode)
+    return sorted({seen[i * len(seen) // ranges] for i in range(1, ranges)}, key=str.encode) if seen else []
+
+
 def with_range(df: DataFrame, by: str, ranges: int = RANGES) -> DataFrame:
-    """df with _range: the number of approximate quantiles of by that are at or below it, so ranges hold like shares."""
-    cuts = df.select(F.percentile_approx(F.col(by), [i / ranges for i in range(1, ranges)], 1000).alias("q")).first()["q"]
-    cuts = sorted(set(cuts or []))
+    """df with _range: the number of cuts of by that are at or below it, so that ranges hold like shares."""
+    cuts = _cuts(df, by, ranges)
     if not cuts:
         return df.withColumn("_range", F.lit(0))
     bounds = F.array(*(F.lit(c) for c in cuts))
     return df.withColumn("_range", F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col(by))), F.lit(0)))
 
 
-def running_sum(df: DataFrame, by: list[str], value: Column, out: str, ranges: int = RANGES) -> DataFrame:
-    """df with out: the sum of value over all rows before this one in the order of by (ascending, total).
+def running_sums(df: DataFrame, by: list[str], values: dict[str, Column], ranges: int = RANGES) -> DataFrame:
+    """df with a column for each of values: its sum over all rows before this one in the order of by (ascending, total).
 
-    Rows are dealt by ranges of the first column; sums run within a range, and each range's start comes from a table
-    of at most as many rows as there are ranges. No task sees all rows, unlike with an unpartitioned window.
+    Rows are dealt by ranges of the first column; all sums run within a range in one pass, and each range's starts come
+    from a table of at most as many rows as there are ranges. No task sees all rows, unlike with an unpartitioned window.
     """
-    dealt = with_range(df.withColumn("_value", value), by[0], ranges)
-    totals = dealt.groupBy("_range").agg(F.sum("_value").alias("_total"))
+    dealt = with_range(df.withColumns({f"_v_{k}": v for k, v in values.items()}), by[0], ranges)
+    totals = dealt.groupBy("_range").agg(*(F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
+    starts = totals.select("_range", *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_s_{k}") for k in values))
     inside = Window.partitionBy("_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    local = F.coalesce(F.sum("_value").over(inside), F.lit(0))
-    joined = dealt.withColumn("_local", local).join(F.broadcast(starts), "_range")
-    return joined.withColumn(out, F.col("_start") + F.col("_local")).drop("_range", "_value", "_local", "_start")
+    local = dealt.select("*", *(F.coalesce(F.sum(f"_v_{k}").over(inside), F.lit(0)).alias(f"_l_{k}") for k in values))
+    joined = local.join(F.broadcast(starts), "_range")
+    return joined.select(*df.columns, *((F.col(f"_s_{k}") + F.col(f"_l_{k}")).alias(k) for k in values))
+
+
+def running_sum(df: DataFrame, by: list[str], value: Column, out: str, ranges: int = RANGES) -> DataFrame:
+    """df with out: the sum of value over all rows before this one, as running_sums()."""
+    return running_sums(df, by, {out: value}, ranges)
 
 
 def row_index(df: DataFrame, by: list[str], out: str = "idx", ranges: int = RANGES) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symweave.functions.entropy_codes import quantise
 from symweave.operators.sequence import gram_counts
 
 
@@ -75,15 +76,20 @@ def quantised_frequencies(counts: DataFrame, scale_bits: int) -> DataFrame:
     much is taken in single steps from the largest quantised value (smallest symbol of several) above 1. The alphabet
     bounds the table (2^16 rows), so the steps run in one place.
     """
-    scale = 1 << scale_bits
     rows = sorted((r["sym"], r["freq"]) for r in counts.where("freq > 0").collect())
-    if not rows or len(rows) > scale:
-        raise ValueError("no symbols, or more than the scale has room for")
-    total = sum(f for _, f in rows)
-    out = {s: max(1, (f * scale + total // 2) // total) for s, f in rows}
-    spare = scale - sum(out.values())
-    if spare > 0:
-        out[max(rows, key=lambda r: (r[1], -r[0]))[0]] += spare
-    for _ in range(-spare):
-        out[max((s for s in out if out[s] > 1), key=lambda s: (out[s], -s))] -= 1
-    return counts.sparkSession.createDataFrame([(s, f, out[s]) for s, f in rows], "sym bigint, freq bigint, quantised bigint")
+    out = quantise([f for _, f in rows], scale_bits)
+    return counts.sparkSession.createDataFrame([(s, f, q) for (s, f), q in zip(rows, out, strict=True)], "sym bigint, freq bigint, quantised bigint")
+
+
+def context_counts(model: DataFrame, group: str) -> DataFrame:
+    """(group, contexts): the different contexts that context_model() saw."""
+    return model.groupBy(group).agg(F.count_distinct("context").alias("contexts"))
+
+
+def cumulative_frequency(model: DataFrame, group: str, probes: DataFrame) -> DataFrame:
+    """Adds cum_freq to probes (group, context, sym): the frequencies of smaller symbols in the context, whether or not
+    the symbol itself was seen; 0 in a context that was not. At most an alphabet's rows meet for a probe."""
+    asked = probes.withColumn("_row", F.monotonically_increasing_id())
+    seen = model.select(F.col(group).alias("_g"), F.col("context").alias("_c"), F.col("sym").alias("_s"), "freq")
+    met = asked.join(seen, F.col(group).eqNullSafe(F.col("_g")) & (F.col("context") == F.col("_c")) & (F.col("_s") < F.col("sym")), "left")
+    return met.groupBy("_row", *probes.columns).agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("cum_freq")).drop("_row")

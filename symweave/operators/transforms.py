@@ -65,6 +65,33 @@ def move_from_front(places: bytes) -> bytes:
     return bytes(out)
 
 
+def symbols_to_front(symbols: list[int], alphabet: int = 1 << 16) -> list[int]:
+    """move_to_front() for an alphabet of any size."""
+    recent: list[int] = []  # symbols seen so far; those not seen keep their order behind them
+    out = []
+    for s in symbols:
+        if not 0 <= s < alphabet:
+            raise ValueError("a symbol outside the alphabet")
+        i = recent.index(s) if s in recent else s + sum(r > s for r in recent)
+        out.append(i)
+        if i < len(recent) and recent[i] == s:
+            del recent[i]
+        recent.insert(0, s)
+    return out
+
+
+def symbols_from_front(places: list[int], alphabet: int = 1 << 16) -> list[int]:
+    """The inverse of symbols_to_front()."""
+    recent = list(range(alphabet))
+    out = []
+    for i in places:
+        if not 0 <= i < alphabet:
+            raise ValueError("a place outside the alphabet")
+        out.append(recent[i])
+        recent.insert(0, recent.pop(i))
+    return out
+
+
 def map_blocks(df: DataFrame, column: str, out: dict[str, str], fn: Callable[[Any], tuple]) -> DataFrame:
     """df without column, with the columns of out (name: type) that fn gives for each block: bytes, or a list from an array
     column; null for null."""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symweave.operators.sequence import running_sum
+from symweave.sources.scratch import removed, written
 
 
 def tree_index(degrees: DataFrame) -> DataFrame:
@@ -23,17 +24,25 @@ def tree_index(degrees: DataFrame) -> DataFrame:
 
 
 def parents(index: DataFrame) -> DataFrame:
-    """(node, parent): each node's range of children written out; the root has null."""
-    children = index.where("not is_leaf").select(F.explode(F.sequence("first_child", "last_child")).alias("node"), F.col("node").alias("parent"))
-    return index.select("node").join(children, "node", "left")
+    """(node, parent); the root has null. Children of one parent follow each other, and parents ascend with them: the
+    r-th first child up to a node stands for the r-th inner node. No list of children is made, however many there are."""
+    inner = index.where("not is_leaf").select("node", "first_child")
+    ranked = running_sum(inner, ["node"], F.lit(1).cast("long"), "_r").select((F.col("_r") + 1).alias("_rank"), F.col("node").alias("parent"))
+    firsts = inner.select(F.col("first_child").alias("_f"))
+    flagged = index.select("node").join(firsts, F.col("node") == F.col("_f"), "left").select("node", F.col("_f").isNotNull().cast("long").alias("_is_first"))
+    upto = running_sum(flagged, ["node"], F.col("_is_first"), "_before").select("node", (F.col("_before") + F.col("_is_first")).alias("_upto"))
+    return upto.join(ranked, F.col("_upto") == F.col("_rank"), "left").select("node", "parent")
 
 
-def siblings(parent: DataFrame) -> DataFrame:
-    """(node, next_sibling, prev_sibling) from (node, parent)."""
-    w = Window.partitionBy("parent").orderBy("node")
-    kids = parent.where("parent is not null")
-    found = kids.select("node", F.lead("node").over(w).alias("next_sibling"), F.lag("node").over(w).alias("prev_sibling"))
-    return parent.select("node").join(found, "node", "left")
+def siblings(index: DataFrame) -> DataFrame:
+    """(node, next_sibling, prev_sibling) from tree_index(): the next and last number, unless a family begins there."""
+    firsts = index.where("not is_leaf").select(F.col("first_child").alias("_f"))
+    n = index.count()
+    found = index.select("node").join(firsts, F.col("node") == F.col("_f"), "left").withColumnRenamed("_f", "_own")
+    found = found.join(firsts, F.col("node") + 1 == F.col("_f"), "left")
+    inside = F.col("node") > 0
+    after = F.when(inside & (F.col("node") + 1 < n) & F.col("_f").isNull(), F.col("node") + 1)
+    return found.select("node", after.alias("next_sibling"), F.when(inside & F.col("_own").isNull(), F.col("node") - 1).alias("prev_sibling"))
 
 
 def child_at(index: DataFrame, k: int) -> DataFrame:
@@ -42,14 +51,18 @@ def child_at(index: DataFrame, k: int) -> DataFrame:
 
 
 def depth_and_size(parent: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, depth) and (node, subtree_size), by one join a level; a level holds only nodes with that many ancestors."""
-    level, at = parent.select("node", F.col("parent").alias("up")), 0
-    pairs, depths = parent.select("node", F.col("node").alias("above")), None
-    depths = parent.where("parent is null").select("node", F.lit(0).cast("long").alias("depth"))
-    above = parent.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
-    while level.where("up is not null").limit(1).count():
-        at += 1
-        pairs = pairs.unionByName(level.where("up is not null").select("node", F.col("up").alias("above")))
-        level = level.where("up is not null").join(above, F.col("up") == F.col("_n")).select("node", F.col("_p").alias("up"))
-        depths = depths.unionByName(level.where("up is null").select("node", F.lit(at).cast("long").alias("depth")))
-    return depths, pairs.groupBy(F.col("above").alias("node")).agg(F.count("*").alias("subtree_size"))
+    """(node, depth) and (node, subtree_size), by pointer doubling: a tree of depth d takes log2(d) rounds.
+
+    After round k a node knows its 2^k-th ancestor, the steps to it or the root, and the nodes less than 2^k below; those
+    of the nodes exactly 2^k below are added next. A parent with very many children is pre-aggregated.
+    """
+    up = F.col("parent")
+    now = written(parent.select("node", up.alias("up"), up.isNotNull().cast("long").alias("depth"), F.lit(1).cast("long").alias("size")))
+    while now.where("up is not null").limit(1).count():
+        far = now.select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("depth").alias("_d"))
+        below = now.where("up is not null").groupBy(F.col("up").alias("_b")).agg(F.sum("size").alias("_s"))
+        further = now.join(far, F.col("up") == F.col("_n"), "left").join(below, F.col("node") == F.col("_b"), "left")
+        later = written(further.select("node", F.col("_u").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), (F.col("size") + F.coalesce("_s", F.lit(0))).alias("size")))
+        removed(now)
+        now = later
+    return now.select("node", "depth"), now.select("node", F.col("size").alias("subtree_size"))

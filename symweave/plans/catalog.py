@@ -292,7 +292,7 @@ def tree_parent(spark, sf_dir):
 
 @query(f"{_TREE} SELECT node, CASE WHEN parent IS NOT NULL THEN lead(node) OVER w END AS next_sibling, CASE WHEN parent IS NOT NULL THEN lag(node) OVER w END AS prev_sibling FROM n WINDOW w AS (PARTITION BY parent ORDER BY node)")
 def tree_siblings(spark, sf_dir):
-    return tree.siblings(tree.parents(tree.tree_index(bfs_tree(spark, sf_dir))))
+    return tree.siblings(tree.tree_index(bfs_tree(spark, sf_dir)))
 
 
 @query(f"{_TREE}, u AS (SELECT node, node AS above, parent AS up FROM n UNION ALL SELECT u.node, u.up, n.parent FROM u JOIN n ON n.node = u.up) SELECT node, (SELECT count(*) - 1 FROM u x WHERE x.node = n.node) AS depth, (SELECT count(*) FROM u x WHERE x.above = n.node) AS subtree_size FROM n")

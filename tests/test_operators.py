@@ -39,7 +39,9 @@ def test_fixtures():
     assert list(transforms.move_to_front(b"bananaaa")) == [98, 98, 110, 1, 1, 1, 0, 0]
     assert codes.huffman_lengths([40, 35, 20, 5]) == [1, 2, 3, 3]
     assert codes.huffman_lengths([0, 7]) == [0, 1]
-    assert max(codes.huffman_lengths([2**k for k in range(24)], 15)) == 15
+    limited = codes.huffman_lengths([2**k for k in range(17)], 15)  # the shortest are made longer first, so none is near the limit
+    assert limited[:6] == [6] * 6 and limited[-3:] == [3, 2, 2] and sum(2.0**-n for n in limited) <= 1
+    assert max(codes.huffman_lengths([2**k for k in range(40)], 24)) <= 24 and sum(2.0**-n for n in codes.huffman_lengths([2**k for k in range(40)], 24)) <= 1
     for bad in (lambda: codes.rans_encode(b"b", [4096]), lambda: transforms.sort_rotations(b""), lambda: transforms.unsort_rotations(b"a", 1), lambda: codes.quantise([0], 4)):
         with pytest.raises((ValueError, IndexError)):
             bad()
