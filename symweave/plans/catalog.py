@@ -30,7 +30,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 _BYTES = "WITH l AS (SELECT doc_id, lang, regexp_extract_all(hex(encode(text)), '..') AS b FROM documents), s AS (SELECT doc_id, lang, unnest(b) AS sym, unnest(range(1, len(b) + 1)) AS i FROM l)"
-_GRAMS = _BYTES + ", g AS (SELECT lang, sym, lag(sym, 1) OVER w AS p1, lag(sym, 2) OVER w AS p2, lag(sym, 3) OVER w AS p3 FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i))"
+_GRAMS = _BYTES + ", g AS (SELECT lang, sym, lag(sym, 1) OVER w AS p1, lag(sym, 2) OVER w AS p2, lag(sym, 3) OVER w AS p3, lag(sym, 4) OVER w AS p4 FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i))"
 
 
 def _h(cols: str, where: str) -> str:
@@ -78,7 +78,7 @@ def _context_sql(order: int) -> str:
 
 
 def _register_contexts() -> None:
-    for order in range(4):
+    for order in range(5):
         def run(spark, sf_dir, order=order):
             return stats.context_model(table(spark, sf_dir, "documents"), "lang", "text", order)
 
@@ -433,8 +433,8 @@ def blob_symbols(spark, sf_dir):
 
 @query(f"{_TREE} SELECT node, degree, true AS valid, (SELECT 4 + {_vector_size('(2 * count(*) + 1)')} FROM d)::BIGINT AS bytes FROM d")
 def blob_tree(spark, sf_dir):
-    nodes = bfs_tree(spark, sf_dir)
-    each = blocks.checked(blocks.packed(blocks.in_blocks(nodes, "node", "degree", 1 << 20), blobs.pack_tree), blobs.read_tree)
+    nodes = bfs_tree(spark, sf_dir)  # one tree is one blob, whatever its size
+    each = blocks.checked(blocks.packed(blocks.in_blocks(nodes, "node", "degree", max(1, nodes.count())), blobs.pack_tree), blobs.read_tree)
     back = transforms.map_blocks(each, "blob", {"degrees": "array<bigint>", "bytes": "bigint"}, lambda b: (blobs.read_tree(b).tolist(), len(b)))
     return back.select("valid", "bytes", F.posexplode("degrees").alias("node", "degree")).select(F.col("node").cast("long").alias("node"), "degree", "valid", "bytes")
 
