@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import duckdb
@@ -17,7 +18,7 @@ from symweave.llm.common import held, text_batches
 #: Distinct words whose ids a worker remembers, twice at most (this and the last generation): memory against time only.
 REMEMBERED = 500_000
 #: Bytes of words that one recursive query encodes, and tokens that one query decodes.
-AT_ONCE, DECODED_AT_ONCE = 400_000, 200_000
+AT_ONCE, DECODED_AT_ONCE = 200_000, 100_000
 #: Bytes that one row of words has at most; longer words are cut and joined again where the cut is no token boundary.
 PIECE = 48
 #: Rows and text bytes that are encoded and given out at once.
@@ -77,10 +78,15 @@ SELECT w, list(tok ORDER BY pos) AS ids FROM state WHERE done GROUP BY w ORDER B
 DECODE = "SELECT string_agg(v.piece, '' ORDER BY t.pos) AS body FROM token_rows t JOIN vocabulary v ON v.tok = t.tok"
 
 
+def parsed_ranks(body: bytes) -> list[tuple[bytes, int]]:
+    """The (token bytes, rank) pairs in the content of a tiktoken file."""
+    return [(base64.b64decode(a), int(b)) for a, b in (line.split() for line in body.splitlines() if line.strip())]
+
+
 def read_ranks(spark: SparkSession, path: str) -> list[tuple[bytes, int]]:
     """The (token bytes, rank) pairs of a tiktoken file, read on the driver; the vocabulary bounds their number."""
     with open(path, "rb") as file:
-        return [(base64.b64decode(a), int(b)) for a, b in (line.split() for line in file if line.strip())]
+        return parsed_ranks(file.read())
 
 
 class Codec:
@@ -101,7 +107,7 @@ class Codec:
                 if a is not None and b is not None:
                     left.append(a), right.append(b), merged.append(r)
         self.spelled = {r: token for token, r in pairs}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})  # nothing goes to a local disk
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": "", "allocator_flush_threshold": "4MB"})  # nothing goes to a local disk; free memory goes back
         self.db.register("given", pa.table({"l": pa.array(left, pa.int64()), "r": pa.array(right, pa.int64()), "merged": pa.array(merged, pa.int64())}))
         self.db.execute("CREATE TABLE merges AS SELECT l * 4294967296 + r AS pair, merged, coalesce(least >= merged, true) AS lone FROM given LEFT JOIN (SELECT tok, min(m) AS least FROM (SELECT l AS tok, merged AS m FROM given UNION ALL SELECT r, merged FROM given) GROUP BY tok) ON tok = merged")
         self.db.unregister("given")
@@ -250,14 +256,15 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text",
     """
     text_batches(docs.sparkSession)
     docs = docs.drop("ids", "decoded")
-    pairs = read_ranks(docs.sparkSession, ranks)
-    shared = docs.sparkSession.sparkContext.broadcast(pairs)
-    key = ("bpe", ranks, pattern, len(pairs), remembered)
+    with open(ranks, "rb") as file:
+        body = file.read()  # as it is in the file, which takes less of a worker's memory than the pairs
+    shared = docs.sparkSession.sparkContext.broadcast(body)
+    key = ("bpe", hashlib.sha256(body).digest(), pattern, remembered)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            codec = codec or held(key, lambda: Codec(shared.value, pattern, remembered))
+            codec = codec or held(key, lambda: Codec(parsed_ranks(shared.value), pattern, remembered))
             sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
             for at, stop in _cuts(sizes, ROWS_OUT, part_bytes):
                 part = batch.slice(at, stop - at)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Rows of a few machine words each that a broadcast may have; beyond it, joins shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Rows of an Arrow batch of whole texts.
-TEXT_ROWS = 2000
+TEXT_ROWS = 500
 
 _own_folder: list[str] = []
 _known_folders: set[str] = set()
