@@ -17,7 +17,7 @@ from symweave.llm.common import stored, unused
 from symweave.llm.queries import GOOD
 
 #: Words that a tokenising worker remembers and text bytes that it takes at once: fewer than by default, as executors also hold what earlier stages needed.
-REMEMBERED, PART_BYTES = 60_000, 1_500_000
+REMEMBERED, PART_BYTES = 30_000, 500_000
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
