@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symweave.llm.common import connected_components, forget, pieces, release, small_enough, stored, text_batches, unused
@@ -177,14 +177,34 @@ def confirmed_within(open_members: DataFrame, classes: DataFrame, docs: DataFram
 HUBS = 3
 
 
+def hubs_of(members: DataFrame, more: int = 0) -> DataFrame:
+    """key, a, x, d: hubs of each bucket in members (key, node, sig, degree, c), with node, signature and component.
+
+    The member that is in most buckets, or, of the members outside its component, those that come first in each of so
+    many orders by hash. All are grouped minima, combined before they are shuffled: no bucket meets in one task. The
+    result is stored, so that the join of members with it can split a bucket.
+    """
+    a = F.struct(F.col("node").alias("a"), F.col("sig").alias("x"), F.col("c").alias("d"))
+    chief = members.groupBy("key").agg(F.min_by(a, F.struct(-F.col("degree"), "node")).alias("hub"))
+    if not more:
+        return stored(chief.select("key", "hub.*"))
+    lead = F.min_by("c", F.struct(-F.col("degree"), "node")).alias("_lead")
+    leads = stored(members.groupBy("key").agg(lead))
+    rest = members.join(leads, "key").where("c <> _lead")
+    each = rest.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by(a, F.struct(F.xxhash64("node", F.lit(k)), "node")) for k in range(more)])).alias("hubs"))
+    out = stored(each.select("key", F.explode("hubs").alias("hub")).select("key", "hub.*"))
+    forget(leads)
+    return out
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Per row of docs: doc_id, text_hash, n_shingles, component_id, kept, component (a key of the group, null without words).
 
     Two documents are linked if 100 * intersection >= percent * union of their distinct word shingles; component_id is
     the smallest doc_id reachable over links. Documents with equal sets are one class from the start, so copies are
     never paired. Classes meet in buckets of equal band keys; of two at the threshold about 7 in 10^9 meet in none.
-    Each bucket compares its members with the one that is in most buckets, then those still in other components with
-    HUBS more; last, what is still in different components of a bucket is compared inside a join that emits links only.
+    Each bucket compares its members with the one that is in most buckets, then, where components remain, with up to
+    HUBS outside the component of that one; last, what is still in different components of a bucket is compared inside a join that emits links only.
     Pairs that the b-bit estimate rules out are not confirmed; ERRORS bounds what that loses.
 
     Null and empty texts have no shingles, are linked with nothing and are kept; texts are read whole, however long. Rows
@@ -211,18 +231,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             now = met.withColumn("c", F.col("node"))
         else:
             now = met.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
-            open_keys = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-            now = stored(now.join(open_keys, "key").select("key", "node", "sig", "degree", "c"))
+            now = stored(now.select("key", "node", "sig", "degree", "c"))
+            open_keys = stored(now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"))
+            still = stored(now.join(open_keys, "key", "left_semi"))
+            forget(now, open_keys)
+            now = still
             if not now.limit(1).count():
                 break
         if turn < 2:
-            best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "node"))
-            hubs = now.withColumn("at", best).where((F.col("at") == 1) if turn == 0 else F.col("at").between(2, 1 + HUBS))
-            hubs = hubs.select("key", F.col("node").alias("a"), F.col("sig").alias("x"), F.col("c").alias("d"))
+            hubs = hubs_of(now, turn * HUBS)
             pairs = now.join(hubs, "key").where(F.col("c") != F.col("d")).where(estimate("x", "sig") >= enough)
             pairs = stored(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
             found = confirmed(pairs, classes, docs, percent)
-            forget(pairs)
+            forget(pairs, hubs)
         else:
             found = confirmed_within(now.select("key", "node", "sig", "c"), classes, docs, percent, enough)
         done.append(found)

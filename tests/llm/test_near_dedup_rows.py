@@ -30,3 +30,12 @@ def test_very_long_text(spark):
     long = text_of(rng, 60_000)
     frame = spark.createDataFrame([(1, long), (2, long + " more"), (3, "x" * 500_000), (4, "x" * 500_000 + "y")], "doc_id bigint, text string")
     assert sorted(r.doc_id for r in near_dedup.drop_near_duplicates(frame, 80).collect()) == [1, 3, 4]
+
+
+def test_hubs(spark):
+    rows = [(k, bytes([n]), [n, n], d, bytes([c])) for k, n, d, c in [(1, 1, 5, 1), (1, 2, 9, 1), (1, 3, 9, 3), (1, 4, 2, 4), (2, 5, 1, 5), (2, 6, 1, 5)]]
+    members = spark.createDataFrame(rows, "key bigint, node binary, sig array<bigint>, degree bigint, c binary")
+    first = {(r.key, bytes(r.a), tuple(r.x), bytes(r.d)) for r in near_dedup.hubs_of(members).collect()}
+    assert first == {(1, b"\x02", (2, 2), b"\x01"), (2, b"\x05", (5, 5), b"\x05")}
+    further = [(r.key, bytes(r.a)) for r in near_dedup.hubs_of(members, 3).collect()]
+    assert len(further) == len(set(further)) and further and set(further) <= {(1, b"\x03"), (1, b"\x04")}
