@@ -231,11 +231,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             now = met.withColumn("c", F.col("node"))
         else:
             now = met.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
-            now = stored(now.select("key", "node", "sig", "degree", "c"))
             open_keys = stored(now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"))
-            still = stored(now.join(open_keys, "key", "left_semi"))
-            forget(now, open_keys)
-            now = still
+            now = stored(now.select("key", "node", "sig", "degree", "c").join(open_keys, "key", "left_semi"))
+            forget(open_keys)
             if not now.limit(1).count():
                 break
         if turn < 2:
