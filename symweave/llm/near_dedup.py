@@ -181,8 +181,10 @@ def hubs_of(members: DataFrame, more: int = 0) -> DataFrame:
     """key, a, x, d: hubs of each bucket in members (key, node, sig, degree, c), with node, signature and component.
 
     The member that is in most buckets, or, of the members outside its component, those that come first in each of so
-    many orders by hash. All are grouped minima, combined before they are shuffled: no bucket meets in one task. The
-    result is stored, so that the join of members with it can split a bucket.
+    many orders by hash. All are grouped minima, combined before they are shuffled, so that no bucket meets in one task;
+    where there are more open buckets than a broadcast may have rows, the later hubs' members are shuffled by bucket
+    first, in a join that adaptive execution can split. The result is stored, so that the join of members with it can
+    split a bucket.
     """
     a = F.struct(F.col("node").alias("a"), F.col("sig").alias("x"), F.col("c").alias("d"))
     chief = members.groupBy("key").agg(F.min_by(a, F.struct(-F.col("degree"), "node")).alias("hub"))
@@ -190,7 +192,7 @@ def hubs_of(members: DataFrame, more: int = 0) -> DataFrame:
         return stored(chief.select("key", "hub.*"))
     lead = F.min_by("c", F.struct(-F.col("degree"), "node")).alias("_lead")
     leads = stored(members.groupBy("key").agg(lead))
-    rest = members.join(leads, "key").where("c <> _lead")
+    rest = members.join(small_enough(leads), "key").where("c <> _lead")
     each = rest.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by(a, F.struct(F.xxhash64("node", F.lit(k)), "node")) for k in range(more)])).alias("hubs"))
     out = stored(each.select("key", F.explode("hubs").alias("hub")).select("key", "hub.*"))
     forget(leads)
