@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symweave.operators.batches import PIECE, bodies, bounded, tallied
+
 #: Ranges that a global order is cut into; the table of their totals has no more rows than this.
 RANGES = 64
 
@@ -16,6 +18,9 @@ RANGES = 64
 #: Strings that are looked at, in the mean, to cut an order of strings into ranges.
 SAMPLED_STRINGS = 4096
 
+#: Rows of counts in a batch that a Python worker gives back.
+ROWS = 1 << 16
+
 
 def _cuts(df: DataFrame, by: str, ranges: int) -> list:
     """Values that cut the order of a column into ranges of like shares: approximate quantiles, of strings those of a
@@ -66,22 +71,25 @@ def row_index(df: DataFrame, by: list[str], out: str = "idx", ranges: int = RANG
 def gram_counts(df: DataFrame, group: str, text: str, size: int) -> DataFrame:
     """(group, gram, n): occurrences of each run of size bytes (1 to 7, packed big-endian) within single texts.
 
-    Counted by batch with sorted arrays, then summed; what is shuffled is distinct grams, not bytes.
+    Counted in pieces with sorted arrays, whose counts are merged and summed; what is shuffled is distinct grams, not bytes.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, np.ndarray]]:
         for batch in batches:
-            parts: dict[str | None, list[np.ndarray]] = {}
-            for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                b = np.frombuffer((body or "").encode(), np.uint8).astype(np.int64)
-                if len(b) >= size:
-                    gram = np.zeros(len(b) - size + 1, np.int64)
+            for key, b in zip(batch.column(0).to_pylist(), bodies(batch.column(1)), strict=True):
+                for at in range(0, len(b) - size + 1, PIECE):
+                    part = b[at : at + PIECE + size - 1].astype(np.int64)
+                    gram = np.zeros(len(part) - size + 1, np.int64)
                     for k in range(size):
-                        gram = gram * 256 + b[k : len(b) - size + 1 + k]
-                    parts.setdefault(key, []).append(gram)
-            for key, grams in parts.items():
-                values, n = np.unique(np.concatenate(grams), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(values), pa.string()), pa.array(values), pa.array(n, pa.int64())], ["grp", "gram", "n"])
+                        gram = gram * 256 + part[k : len(part) - size + 1 + k]
+                    yield key, gram
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, places, values, n in tallied(grams(batches)):
+            names = pa.array(keys, pa.string())
+            for at in range(0, len(values), ROWS):
+                part = slice(at, at + ROWS)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(places[part])), pa.array(values[part]), pa.array(n[part], pa.int64())], ["grp", "gram", "n"])
 
-    counted = df.select(F.col(group).cast("string").alias("grp"), F.col(text).alias("body")).mapInArrow(count, "grp string, gram bigint, n bigint")
+    counted = bounded(df.select(F.col(group).cast("string").alias("grp"), F.col(text).alias("body"))).mapInArrow(count, "grp string, gram bigint, n bigint")
     return counted.groupBy("grp", "gram").agg(F.sum("n").alias("n")).withColumnRenamed("grp", group)
