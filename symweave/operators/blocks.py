@@ -29,3 +29,17 @@ def checked(blobs: DataFrame, read: Callable[[bytes], Any]) -> DataFrame:
     from symweave.functions.blobs import valid
 
     return map_blocks(blobs.withColumn("_blob", F.col("blob")), "_blob", {"valid": "boolean"}, lambda blob: (valid(read, bytes(blob)),))
+
+
+def served(blocks: DataFrame, pack: Callable[[Any], bytes], out: dict[str, str], fn: Callable[[bytes], tuple], read: Callable[[bytes], Any] | None = None) -> DataFrame:
+    """(block, valid, out): what map_blocks() by fn gives for packed() blobs, with read also checked(); valid only with read.
+
+    A step of its own for each would take a Python worker for each step in every task.
+    """
+    from symweave.functions.blobs import valid
+
+    def run(items: Any) -> tuple:
+        blob = pack(items)
+        return *((valid(read, blob),) if read else ()), *fn(blob)
+
+    return map_blocks(blocks, "items", ({"valid": "boolean"} if read else {}) | out, run)

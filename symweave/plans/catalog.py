@@ -394,8 +394,8 @@ def blob_bit_vector(spark, sf_dir):
         ones = blobs.rank_in(blob, n)
         return n, ones, len(blob), blobs.select_in(blob, ones - 1) if ones else -1
 
-    each = blocks.packed(blocks.in_blocks(bitvector.bit_index(order_bits(spark, sf_dir), "o_orderkey"), "pos", "bit", 4096), blobs.pack_bit_vector)
-    return transforms.map_blocks(blocks.checked(each, blobs.read_bit_vector), "blob", {"n_bits": "bigint", "ones": "bigint", "bytes": "bigint", "last_one": "bigint"}, fn)
+    each = blocks.in_blocks(bitvector.bit_index(order_bits(spark, sf_dir), "o_orderkey"), "pos", "bit", 4096)
+    return blocks.served(each, blobs.pack_bit_vector, {"n_bits": "bigint", "ones": "bigint", "bytes": "bigint", "last_one": "bigint"}, fn, blobs.read_bit_vector)
 
 
 _RUNS = f"{_SORTED}, g AS (SELECT idx // 1024 AS block, count(*) AS n, max(v) AS m, sum(v)::BIGINT AS total FROM v GROUP BY block), w AS (SELECT *, CASE WHEN (m + 1) // n <= 1 THEN 0 ELSE length(bin((m + 1) // n)) - 1 END AS l FROM g)"
@@ -404,38 +404,38 @@ _RUNS = f"{_SORTED}, g AS (SELECT idx // 1024 AS block, count(*) AS n, max(v) AS
 @query(f"{_RUNS} SELECT block, total, (13 + ceil(n * l / 8.0) + {_vector_size('(n + (m >> l) + 1)')})::BIGINT AS bytes, true AS valid FROM w")
 def blob_sorted(spark, sf_dir):
     index = ordered.sorted_index(table(spark, sf_dir, "orders"), "o_orderkey")
-    each = blocks.packed(blocks.in_blocks(index, "idx", "v", 1024), blobs.pack_sorted)
-    return transforms.map_blocks(blocks.checked(each, blobs.read_sorted), "blob", {"total": "bigint", "bytes": "bigint"}, lambda b: (int(blobs.read_sorted(b).sum()), len(b)))
+    each = blocks.in_blocks(index, "idx", "v", 1024)
+    return blocks.served(each, blobs.pack_sorted, {"total": "bigint", "bytes": "bigint"}, lambda b: (int(blobs.read_sorted(b).sum()), len(b)), blobs.read_sorted)
 
 
 @query(f"{_DELTA} SELECT idx // 1024 AS block, sum(v)::BIGINT AS total, (6 + 12 * count(DISTINCT block) + coalesce(sum(greatest(1, ceil(length(bin(delta)) / 7.0))) FILTER (delta IS NOT NULL), 0))::BIGINT AS bytes, true AS valid FROM d GROUP BY 1")
 def blob_deltas(spark, sf_dir):
     index = ordered.sorted_index(table(spark, sf_dir, "orders"), "o_orderkey")
-    each = blocks.packed(blocks.in_blocks(index, "idx", "v", 1024), blobs.pack_deltas)
-    return transforms.map_blocks(blocks.checked(each, blobs.read_deltas), "blob", {"total": "bigint", "bytes": "bigint"}, lambda b: (sum(blobs.read_deltas(b)), len(b)))
+    each = blocks.in_blocks(index, "idx", "v", 1024)
+    return blocks.served(each, blobs.pack_deltas, {"total": "bigint", "bytes": "bigint"}, lambda b: (sum(blobs.read_deltas(b)), len(b)), blobs.read_deltas)
 
 
 @query(f"{_FRONT} SELECT idx, s, true AS valid FROM i")
 def blob_strings(spark, sf_dir):
     index = dictionary.string_index(table(spark, sf_dir, "customer"), "c_name")
-    each = blocks.checked(blocks.packed(blocks.in_blocks(index, "idx", "s", 256), lambda items: blobs.pack_strings([s.encode() for s in items])), blobs.read_strings)
-    back = transforms.map_blocks(each, "blob", {"strings": "array<string>"}, lambda b: ([s.decode() for s in blobs.read_strings(b)],))
+    each = blocks.in_blocks(index, "idx", "s", 256)
+    back = blocks.served(each, lambda items: blobs.pack_strings([s.encode() for s in items]), {"strings": "array<string>"}, lambda b: ([s.decode() for s in blobs.read_strings(b)],), blobs.read_strings)
     return back.select("block", "valid", F.posexplode("strings").alias("i", "s")).select((F.col("block") * 256 + F.col("i")).alias("idx"), "s", "valid")
 
 
 @query(f"{_WAVE} SELECT pos, length(sym)::BIGINT AS sym, true AS valid FROM s")
 def blob_symbols(spark, sf_dir):
     index = _events(spark, sf_dir).select("pos", F.length("sym").alias("n"))
-    each = blocks.checked(blocks.packed(blocks.in_blocks(index, "pos", "n", 4096), blobs.pack_symbols), blobs.read_symbols)
-    back = transforms.map_blocks(each, "blob", {"symbols": "array<bigint>"}, lambda b: (blobs.read_symbols(b).tolist(),))
+    each = blocks.in_blocks(index, "pos", "n", 4096)
+    back = blocks.served(each, blobs.pack_symbols, {"symbols": "array<bigint>"}, lambda b: (blobs.read_symbols(b).tolist(),), blobs.read_symbols)
     return back.select("block", "valid", F.posexplode("symbols").alias("i", "sym")).select((F.col("block") * 4096 + F.col("i")).alias("pos"), "sym", "valid")
 
 
 @query(f"{_TREE} SELECT node, degree, true AS valid, (SELECT 4 + {_vector_size('(2 * count(*) + 1)')} FROM d)::BIGINT AS bytes FROM d")
 def blob_tree(spark, sf_dir):
     nodes = bfs_tree(spark, sf_dir)  # one tree is one blob, whatever its size
-    each = blocks.checked(blocks.packed(blocks.in_blocks(nodes, "node", "degree", max(1, nodes.count())), blobs.pack_tree), blobs.read_tree)
-    back = transforms.map_blocks(each, "blob", {"degrees": "array<bigint>", "bytes": "bigint"}, lambda b: (blobs.read_tree(b).tolist(), len(b)))
+    each = blocks.in_blocks(nodes, "node", "degree", max(1, nodes.count()))
+    back = blocks.served(each, blobs.pack_tree, {"degrees": "array<bigint>", "bytes": "bigint"}, lambda b: (blobs.read_tree(b).tolist(), len(b)), blobs.read_tree)
     return back.select("valid", "bytes", F.posexplode("degrees").alias("node", "degree")).select(F.col("node").cast("long").alias("node"), "degree", "valid", "bytes")
 
 

@@ -30,16 +30,16 @@ def leb128_decode(spark, sf_dir):
 @query(f"{_SORTED} SELECT idx, v FROM v")
 def blob_delta_get(spark, sf_dir):
     index = ordered.sorted_index(table(spark, sf_dir, "orders"), "o_orderkey")
-    each = blocks.packed(blocks.in_blocks(index, "idx", "v", 512), blobs.pack_deltas)
-    back = transforms.map_blocks(each, "blob", {"values": "array<bigint>"}, lambda b: ([blobs.delta_at(b, i) for i in range(blobs.header(b, "deltas")["count"])],))
+    each = blocks.in_blocks(index, "idx", "v", 512)
+    back = blocks.served(each, blobs.pack_deltas, {"values": "array<bigint>"}, lambda b: ([blobs.delta_at(b, i) for i in range(blobs.header(b, "deltas")["count"])],))
     return back.select("block", F.posexplode("values").alias("i", "v")).select((F.col("block") * 512 + F.col("i")).alias("idx"), "v")
 
 
 @query(f"{_FRONT} SELECT idx, s FROM i")
 def blob_string_get(spark, sf_dir):
     index = dictionary.string_index(table(spark, sf_dir, "customer"), "c_name")
-    each = blocks.packed(blocks.in_blocks(index, "idx", "s", 256), lambda items: blobs.pack_strings([s.encode() for s in items]))
-    back = transforms.map_blocks(each, "blob", {"strings": "array<string>"}, lambda b: ([blobs.string_at(b, i).decode() for i in range(blobs.header(b, "strings")["count"])],))
+    each = blocks.in_blocks(index, "idx", "s", 256)
+    back = blocks.served(each, lambda items: blobs.pack_strings([s.encode() for s in items]), {"strings": "array<string>"}, lambda b: ([blobs.string_at(b, i).decode() for i in range(blobs.header(b, "strings")["count"])],))
     return back.select("block", F.posexplode("strings").alias("i", "s")).select((F.col("block") * 256 + F.col("i")).alias("idx"), "s")
 
 
@@ -104,8 +104,7 @@ def blob_prefix(spark, sf_dir):
 def blob_headers(spark, sf_dir):
     def of(kind, frame, at, value, size, pack, field):
         fn = lambda b: (blobs.header(b, kind)["count"], blobs.header(b, kind).get(field, 0))
-        each = blocks.packed(blocks.in_blocks(frame, at, value, size), pack)
-        return transforms.map_blocks(each, "blob", {"n": "bigint", "size": "bigint"}, fn).select(F.lit(kind).alias("kind"), "block", "n", "size")
+        return blocks.served(blocks.in_blocks(frame, at, value, size), pack, {"n": "bigint", "size": "bigint"}, fn).select(F.lit(kind).alias("kind"), "block", "n", "size")
 
     deltas = of("deltas", ordered.sorted_index(table(spark, sf_dir, "orders"), "o_orderkey"), "idx", "v", 1000, blobs.pack_deltas, "block")
     strings = of("strings", dictionary.string_index(table(spark, sf_dir, "customer"), "c_name"), "idx", "s", 200, lambda x: blobs.pack_strings([s.encode() for s in x]), "bucket")
@@ -123,9 +122,8 @@ def blob_validate(spark, sf_dir):
     names = dictionary.string_index(table(spark, sf_dir, "customer"), "c_name")
     out = None
     for kind, frame, value, size, pack, read in (("sorted", index, "v", 1024, blobs.pack_sorted, blobs.read_sorted), ("deltas", index, "v", 1024, blobs.pack_deltas, blobs.read_deltas), ("strings", names, "s", 256, lambda x: blobs.pack_strings([s.encode() for s in x]), blobs.read_strings)):
-        each = blocks.packed(blocks.in_blocks(frame, "idx", value, size), pack)
         fn = lambda b, read=read: (list(hurt), [int(blobs.valid(read, h(bytes(b)))) for h in hurt.values()])
-        done = transforms.map_blocks(each, "blob", {"damage": "array<string>", "ok": "array<bigint>"}, fn)
+        done = blocks.served(blocks.in_blocks(frame, "idx", value, size), pack, {"damage": "array<string>", "ok": "array<bigint>"}, fn)
         rows = done.select(F.lit(kind).alias("kind"), "block", F.explode(F.arrays_zip("damage", "ok")).alias("x"))
         rows = rows.select("kind", "block", "x.damage", (F.col("x.ok") == 1).alias("valid"))
         out = rows if out is None else out.unionByName(rows)

@@ -7,7 +7,10 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 
-from symweave.operators import batches, sequence
+from symweave.operators import batches, sequence, transforms
+from symweave.plans import catalog
+
+DATA = "/root/testdata/sf0.001"
 
 
 def worker(monkeypatch, frame, make):
@@ -55,3 +58,17 @@ def test_tallies_are_whole(kept):
         for place, value, times in zip(places, values, n, strict=True):
             found[keys[place], int(value)] += int(times)
     assert found == Counter((k, x) for k, v in numbers for x in v)
+
+
+def test_blocks_take_little_memory(spark, monkeypatch):
+    frame = spark.createDataFrame([(1, [1])], "block bigint, items array<bigint>")
+    fn = worker(monkeypatch, frame, lambda: transforms.map_blocks(frame, "items", {"twice": "array<bigint>"}, lambda x: ([2 * v for v in x],)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array([list(range(i, i + 1024)) for i in range(500)])], ["block", "items"])
+    most, rows = peak(fn, batch)
+    assert most < 8 and sum(rows) == 500  # 4 MB of blocks
+
+
+@pytest.mark.parametrize(("name", "steps"), [("blob_bit_vector", 1), ("blob_sorted", 1), ("blob_deltas", 1), ("blob_strings", 1), ("blob_symbols", 1), ("blob_tree", 1), ("blob_delta_get", 1), ("blob_string_get", 1), ("blob_headers", 4), ("blob_validate", 3)])
+def test_blocks_take_one_worker_a_task(spark, name, steps):
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == steps  # one for each kind of blob
