@@ -93,3 +93,34 @@ def gram_counts(df: DataFrame, group: str, text: str, size: int) -> DataFrame:
 
     counted = bounded(df.select(F.col(group).cast("string").alias("grp"), F.col(text).alias("body"))).mapInArrow(count, "grp string, gram bigint, n bigint")
     return counted.groupBy("grp", "gram").agg(F.sum("n").alias("n")).withColumnRenamed("grp", group)
+
+
+def _top_code_point(b: np.ndarray) -> int:
+    """The largest code point of UTF-8: the largest byte leads it, and only what that byte leads is decoded."""
+    lead, top = int(b.max()), 0
+    if lead < 0x80:
+        return lead
+    more = 1 + (lead >= 0xE0) + (lead >= 0xF0)
+    for start in range(0, len(b), PIECE):
+        at = np.flatnonzero(b[start : start + PIECE] == lead) + start
+        code = np.full(len(at), lead & (0x3F >> more), np.int64)
+        for k in range(1, more + 1):
+            code = code << 6 | b.take(at + k, mode="clip") & 0x3F
+        top = max(top, int(code.max(initial=0)))
+    return top
+
+
+def top_code_points(df: DataFrame, group: str, text: str) -> DataFrame:
+    """(group, code): the largest code point of the texts of each batch and group, so that a group may come again; none for
+    groups without characters."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            top: dict[str | None, int] = {}
+            for key, b in zip(batch.column(0).to_pylist(), bodies(batch.column(1)), strict=True):
+                if len(b):
+                    top[key] = max(top.get(key, 0), _top_code_point(b))
+            yield pa.RecordBatch.from_arrays([pa.array(list(top), pa.string()), pa.array(list(top.values()), pa.int64())], ["grp", "code"])
+
+    rows = bounded(df.select(F.col(group).cast("string").alias("grp"), F.col(text).alias("body")))
+    return rows.mapInArrow(find, "grp string, code bigint").withColumnRenamed("grp", group)

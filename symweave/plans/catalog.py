@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from symweave.functions import bits, blobs, entropy_codes, fixed
 from symweave.operators import bitvector, blocks, dictionary, ordered, pairs, stats, transforms, tree
+from symweave.operators.sequence import top_code_points
 from symweave.sources.tables import bfs_tree, distinct_words, order_bits, table
 from symweave.streaming.entropy import windowed_counts, windowed_entropy
 
@@ -91,9 +92,7 @@ _register_contexts()
 
 @query("SELECT lang, greatest(1, length(bin(max(unicode(sym)))))::BIGINT AS bits FROM (SELECT lang, unnest(string_split(text, '')) AS sym FROM documents) GROUP BY lang")
 def detect_symbol_bits(spark, sf_dir):
-    points = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "")).alias("c")).where("c <> ''")
-    code = F.conv(F.hex(F.encode("c", "UTF-32")), 16, 10).cast("long")
-    return points.groupBy("lang").agg(stats.symbol_bits(code).alias("bits"))
+    return top_code_points(table(spark, sf_dir, "documents"), "lang", "text").groupBy("lang").agg(stats.symbol_bits(F.col("code")).alias("bits"))
 
 
 _BITS = "WITH b AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, (o_orderstatus = 'F')::INT AS bit FROM orders), r AS (SELECT pos, bit, coalesce(sum(bit) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rank1 FROM b)"

@@ -72,3 +72,16 @@ def test_blocks_take_little_memory(spark, monkeypatch):
 def test_blocks_take_one_worker_a_task(spark, name, steps):
     plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == steps  # one for each kind of blob
+
+
+def test_symbol_bits_without_a_row_a_character(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sequence, "PIECE", 3)
+    rnd = random.Random(1)
+    points = [0, 1, 0x7F, 0x80, 0x7FF, 0x800, 0xD7FF, 0xE000, 0xFFFF, 0x10000, 0x10FFFF, *(rnd.choice([x for x in (rnd.randrange(1 << k),) if not 0xD800 <= x < 0xE000] or [65]) for k in range(1, 21))]
+    texts = [(f"{p}", "".join(map(chr, [*(rnd.choices([x for x in points if x <= p], k=9)), p]))) for p in points]
+    rows = [*texts, (None, "é"), ("null", None), ("empty", ""), ("two", "a"), ("two", "€")]
+    spark.createDataFrame(rows, "lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.QUERIES["detect_symbol_bits"](spark, str(tmp_path))
+    assert {r["lang"]: r["bits"] for r in found.collect()} == {f"{p}": max(1, p.bit_length()) for p in points} | {None: 8, "two": 14}
+    assert [sequence._top_code_point(sequence.np.frombuffer(t.encode(), "u1")) for _, t in texts] == points
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
