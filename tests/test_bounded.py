@@ -7,6 +7,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 
+from symweave.functions import blobs
 from symweave.operators import batches, sequence, transforms
 from symweave.plans import catalog
 
@@ -85,3 +86,21 @@ def test_symbol_bits_without_a_row_a_character(spark, tmp_path, monkeypatch):
     assert {r["lang"]: r["bits"] for r in found.collect()} == {f"{p}": max(1, p.bit_length()) for p in points} | {None: 8, "two": 14}
     assert [sequence._top_code_point(sequence.np.frombuffer(t.encode(), "u1")) for _, t in texts] == points
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_single_numbers_are_read_at_once(monkeypatch):
+    rnd = random.Random(3)
+    steps = [0, 1, 126, 127, 128, 129, 16383, 16384, 2**40]
+    for pool in (steps, steps[:4], steps[:1], [*steps[:4]] * 20 + [128]):
+        values = [5]
+        for step in rnd.choices(pool, k=300):
+            values.append(values[-1] + step)
+        blob = blobs.pack_deltas(values)
+        assert [blobs.delta_at(blob, i) for i in range(len(values))] == values == blobs.read_deltas(blob)
+        for cut in (blob[:-1], blob[:-1] + b"\x80", blob[:-1] + b"\xff" * 10):
+            assert not blobs.valid(blobs.read_deltas, cut)
+            with pytest.raises(ValueError):
+                blobs.delta_at(cut, len(values) - 1)
+    monkeypatch.setattr(blobs, "read_leb128", None)  # a number a step takes minutes over larger tables
+    blob = blobs.pack_deltas(range(0, 12700, 127))
+    assert [blobs.delta_at(blob, i) for i in range(100)] == list(range(0, 12700, 127))
