@@ -27,5 +27,5 @@ def bfs_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = regions.select(F.row_number().over(Window.orderBy("r_regionkey")).cast("long").alias("node"), F.coalesce("degree", F.lit(0)).alias("degree"))
     n = regions.count()
     leaves = table(spark, sf_dir, "nation").select((F.row_number().over(Window.orderBy("n_regionkey", "n_nationkey")) + n).cast("long").alias("node"), F.lit(0).cast("long").alias("degree"))
-    root = spark.createDataFrame([(0, n)], "node bigint, degree bigint")
+    root = spark.range(0, 1, 1, 1).select(F.col("id").alias("node"), F.lit(n).cast("long").alias("degree"))  # local rows would pass through Python workers of their own
     return root.unionByName(regions).unionByName(leaves)
