@@ -24,7 +24,7 @@ def large(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["context_model_4", "context_model_2", "context_model_3", "context_model_0", "blob_headers"])
+@pytest.mark.parametrize("name", ["context_model_4", "context_model_2", "context_model_3", "context_model_0", "blob_deltas", "blob_headers"])
 def test_workers_get_small_batches(spark, large, tmp_path, monkeypatch, name):
     folder = str(tmp_path)
 
